@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 HOT_CELL_ROWS = 50_000
+MIN_CELL_M = 40.0
 
 
 def with_cell(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
@@ -74,10 +75,12 @@ def points_near_lines(points: DataFrame, lines: DataFrame, limit: float) -> Data
     """Distance of every point to every line within ``limit``.
 
     ``points`` holds ``p_id, x, y``; ``lines`` holds ``line_id, pts`` and what else is wanted. The
-    pieces of a line are put into cells of edge ``limit`` around them, a point looks into its own cell only.
+    pieces of a line are put into the cells around them, a point looks into its own cell only. Cells
+    are never smaller than a usual piece, so a piece meets few of them.
     """
-    cells = line_cells(lines.select("line_id", "pts"), limit, limit).select("line_id", "p", "cx", "cy").distinct()
-    probe = with_cell(points.select("p_id", "x", "y"), "x", "y", limit)
+    cell = max(2 * limit, MIN_CELL_M)
+    cells = line_cells(lines.select("line_id", "pts"), cell, limit).select("line_id", "p", "cx", "cy")
+    probe = with_cell(points.select("p_id", "x", "y"), "x", "y", cell)
     pairs = salted_cell_join(probe, cells, "line_id").withColumn(
         "dist", piece_distance(F.col("x"), F.col("y"), F.col("p"))).where(F.col("dist") <= limit)
     return pairs.groupBy("p_id", "line_id").agg(F.min("dist").alias("dist"))
