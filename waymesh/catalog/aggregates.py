@@ -144,7 +144,7 @@ def _(v):
     return v.customer.groupBy("c_nationkey").agg((F.min("c_mktsegment") != F.max("c_mktsegment")).alias("mixed"))
 
 
-@query("surface_fusion", """WITH o AS (SELECT *, list_position(['T03', 'T04', 'T02_INPUT'], source) * 1000000000 + surface_id AS r FROM source_surfaces),
+@query("surface_fusion", """WITH o AS (SELECT *, list_position(['T03', 'T04', 'T02_INPUT'], source) * 1000000000::BIGINT + surface_id AS r FROM source_surfaces),
     g AS (SELECT mainnodeid, count(*) AS surface_count, count(DISTINCT source) AS sources, arg_min(kind_2, r) AS k, min(CASE WHEN source = 'T03' THEN surface_id END) AS t03,
     min(CASE WHEN source = 'T04' THEN surface_id END) AS t04, arg_min(surface_id, r) AS f, min(kind_2) <> max(kind_2) AS kc, min(patch_id) <> max(patch_id) AS pc,
     greatest(max(x0) - min(x1), max(y0) - min(y1)) AS gap FROM o GROUP BY 1)

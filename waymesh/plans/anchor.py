@@ -16,3 +16,22 @@ def funnel(states: DataFrame, *keys: str) -> DataFrame:
         F.count("status").alias("published_total"), F.count_if(success).alias("success_total"),
         F.count_if(F.col("status") == 1).alias("failure_total"), F.count_if(success & F.col("consumable")).alias("consumable_total"),
         F.count_if(success & ~F.col("consumable")).alias("unconsumable_total"))
+
+
+def graph_consumability(relations: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFrame:
+    """Whether the base of each relation exists, alone or as a group, and has roads."""
+    ends = roads.select(F.explode(F.array("snodeid", "enodeid")).alias("id")).distinct().withColumn("_inc", F.lit(True))
+    exists = nodes.select(F.col("id").alias("base_id"), F.lit(True).alias("_node"))
+    base_ends = ends.select(F.col("id").alias("base_id"), F.lit(True).alias("_own"))
+    named = nodes.where(F.col("mainnodeid").isNotNull() & ~F.col("mainnodeid").isin(0, -1))
+    group = named.join(ends, "id", "left").groupBy(F.col("mainnodeid").alias("base_id")).agg(
+        F.bool_or(F.coalesce("_inc", F.lit(False))).alias("_grp"))
+    joined = relations.join(exists, "base_id", "left").join(base_ends, "base_id", "left").join(group, "base_id", "left")
+    node, own, any_incident = F.col("_node").isNotNull(), F.col("_own").isNotNull(), F.coalesce("_grp", F.lit(False))
+    state = (F.when(F.col("status") != 0, "relation_not_success")
+             .when(F.col("base_id").isNull() | (F.col("base_id") <= 0), "success_relation_missing_base_id")
+             .when(node & own, "base_node_graph_incident").when(node & any_incident, "base_node_group_graph_incident")
+             .when(node, "base_node_not_incident_to_rcsdroad").when(any_incident, "base_mainnodeid_graph_incident")
+             .when(F.col("_grp").isNotNull(), "base_mainnodeid_not_incident_to_rcsdroad")
+             .otherwise("base_id_not_found_in_rcsdnode_out"))
+    return joined.select("target_id", "base_id", "status", state.alias("state"), state.endswith("graph_incident").alias("consumable"))

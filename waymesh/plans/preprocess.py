@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalar as S
+from ..operators.graph import connected_components, directed_edges, follow_chain
 from ..operators.spatial import points_near_lines
 
 
@@ -40,8 +41,8 @@ def lane_groups(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     known = roads.where(F.col("direction").between(0, 3)).select(F.col("id").alias("link"), "direction", "pts")
     joined = grouped.join(known, "link")
     arrows = F.array_join(F.flatten(F.transform("rows", lambda r: F.array_repeat(r["arrow"], r["n"]))), ",")
-    one_each = F.forall("rows", lambda r: r["n"] == 1)
-    complete = one_each & (F.col("first_seq") == 1) & (F.col("last_seq") == F.col("lanes"))
+    listed = F.flatten(F.transform("rows", lambda r: F.array_repeat(r["seq"], r["n"])))
+    complete = listed == F.sequence(F.lit(1), F.col("lanes").cast("int"))
     flip = S.lane_reversed(F.col("direction"), F.col("lane_dir"))
     return joined.select("link", "lane_dir", arrows.alias("arrows"), "lanes", "first_seq", "last_seq",
                          complete.alias("sequence_complete"), G.orient(F.col("pts"), flip).alias("pts"))
@@ -51,3 +52,40 @@ def restriction_lines(pairs: DataFrame) -> DataFrame:
     """Line of a restriction: in-road and out-road joined at their nearest ends."""
     found = pairs.where(F.col("in_pts").isNotNull() & F.col("out_pts").isNotNull())
     return found.withColumn("pts", G.connect(F.col("in_pts"), F.col("out_pts")))
+
+
+def roundabout_nodes(edges: DataFrame, bit: int = 8) -> DataFrame:
+    """Nodes of each roundabout: the smallest is the main node, and rings of several nodes become kind 64."""
+    ring = edges.where(F.col("roadtype").bitwiseAND(bit) != 0)
+    comp = connected_components(ring)
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
+    return comp.join(sizes, "component").select("node", F.col("component").alias("mainnodeid"),
+                                                F.when(F.col("n") > 1, 64).alias("kind_2"))
+
+
+def divmerge_chain_edges(roads: DataFrame, kinds: DataFrame, limit_m: float, diverge_merge_limit_m: float) -> DataFrame:
+    """Chain edges between diverge and merge junctions.
+
+    One-way roads are followed through nodes of degree two with a single way on, up to the next node of
+    degree three or more. The edge counts when both ends are diverge or merge junctions and it is
+    shorter than the limit, which is longer from a diverge to a merge. Two-way roads take no part.
+    """
+    oneway = roads.where(F.col("direction").isin(2, 3))
+    edges = directed_edges(oneway).select("road_id", "src", "dst", "length_m")
+    degrees = oneway.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    onward = edges.select(F.col("src").alias("node"), F.col("road_id").alias("next_road"), F.col("dst").alias("next_dst"), F.col("length_m").alias("step_m"))
+    at_end = edges.select("road_id", "src", F.col("dst").alias("node")).join(degrees, "node").where("degree = 2").join(onward, "node").where(
+        "next_dst != src")
+    unique = at_end.groupBy("road_id").agg(F.count("*").alias("n"), F.first("next_road").alias("next_road"), F.first("step_m").alias("step_m")).where("n = 1")
+    ends = follow_chain(unique.select(F.col("road_id").alias("place"), F.col("next_road").alias("next_place"), "step_m"))
+    walked = edges.select("road_id", "src", "length_m").join(
+        ends.where("NOT closed AND hops <= 256").select(F.col("place").alias("road_id"), F.col("end_place").alias("last_road"), "dist_m"), "road_id", "left")
+    walked = walked.select("src", F.coalesce("last_road", "road_id").alias("last_road"), (F.col("length_m") + F.coalesce("dist_m", F.lit(0.0))).alias("dist_m"))
+    reached = walked.join(edges.select(F.col("road_id").alias("last_road"), "dst"), "last_road")
+    stop = degrees.where("degree >= 3").select(F.col("node").alias("dst"))
+    special = kinds.where(F.col("kind_2").isin(8, 16))
+    joined = (reached.join(stop, "dst", "left_semi")
+              .join(special.select(F.col("node").alias("src"), F.col("kind_2").alias("src_kind")), "src")
+              .join(special.select(F.col("node").alias("dst"), F.col("kind_2").alias("dst_kind")), "dst"))
+    limit = F.when((F.col("src_kind") == 16) & (F.col("dst_kind") == 8), diverge_merge_limit_m).otherwise(limit_m)
+    return joined.where(F.col("dist_m") < limit).groupBy("src", "dst").agg(F.min("dist_m").alias("dist_m"))

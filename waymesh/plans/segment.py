@@ -4,6 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import digest_id
+from ..operators.angles import straightest
+from ..operators.graph import conflict_components, connected_components, follow_chain
+
 
 def segment_summary(roads: DataFrame) -> DataFrame:
     """One row per segment; the roads themselves stay in the membership table.
@@ -14,3 +18,38 @@ def segment_summary(roads: DataFrame) -> DataFrame:
         F.count("*").alias("roads"), F.sum("formway").alias("formway_sum"), F.min("rank").alias("best_rank"),
         F.min_by("grade", "rank").alias("best_grade"), F.count_distinct("direction").alias("directions"),
         (F.min("grade") != F.max("grade")).alias("grade_conflict"))
+
+
+def advance_right_segments(edges: DataFrame, bit: int = 128) -> DataFrame:
+    """Connected advance-right roads form one segment named by a digest over its roads."""
+    turning = edges.where(F.col("formway").bitwiseAND(bit) != 0)
+    comp = connected_components(turning)
+    member = turning.join(comp.select(F.col("node").alias("src"), "component"), "src").select("road_id", "component")
+    # an advance-right chain is a handful of short ramps, so its list of roads stays small
+    ids = member.groupBy("component").agg(F.collect_list(F.col("road_id").cast("string")).alias("ids"))
+    named = ids.select("component", digest_id(F.col("ids"), "advance_right_").alias("segment_id"))
+    return member.join(named, "component").select("road_id", "segment_id")
+
+
+def oneway_trace(roads: DataFrame, incoming: DataFrame, outgoing: DataFrame, stops: DataFrame) -> DataFrame:
+    """Where each road leads when the straightest next road is taken until a stop junction.
+
+    The successor of a road is fixed, so traces are resolved by pointer doubling; ``closed`` marks loops.
+    """
+    way_on = straightest(incoming.join(stops, "junction_id", "left_anti"), outgoing, ["junction_id"]).where("in_id != out_id")
+    # a road that may be left at both ends keeps its straighter continuation
+    single = way_on.groupBy("in_id").agg(F.min(F.struct("turn_deg", "out_id", "junction_id")).alias("s"))
+    steps = single.select(F.col("in_id").alias("place"), F.col("s.out_id").alias("next_place"), F.lit(1.0).alias("step_m"))
+    ends = follow_chain(steps)
+    return roads.select(F.col("id").alias("road_id")).join(
+        ends.select(F.col("place").alias("road_id"), F.col("end_place").alias("end_road"), "hops", "closed"), "road_id", "left").select(
+        "road_id", F.when(~F.col("closed"), F.col("end_road")).alias("end_road"), F.coalesce("hops", F.lit(0)).alias("hops"),
+        F.coalesce("closed", F.lit(False)).alias("closed")).select(
+        "road_id", "end_road", F.when(~F.col("closed"), F.col("hops")).alias("hops"), "closed")
+
+
+def resolve_conflicts(members: DataFrame, owners: DataFrame) -> DataFrame:
+    """Best owner of every group of owners that share members: highest score, then smallest id."""
+    groups = conflict_components(members).join(owners, "owner")
+    order = F.struct(F.col("score").alias("s"), (-F.col("owner")).alias("n"))
+    return groups.groupBy("component").agg(F.max_by("owner", order).alias("winner"), F.count("*").alias("owners"))
