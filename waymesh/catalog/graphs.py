@@ -132,8 +132,8 @@ def _(v):
 def _(v):
     from ..plans.preprocess import divmerge_chain_edges
     kinds = v.net_nodes.select(F.col("id").alias("node"), "kind_2")
-    roads = chain_edges(v).withColumn("length_m", F.col("length_m").cast("double"))
-    return divmerge_chain_edges(roads, kinds, 50.0, 100.0)
+    roads = canon_roads(v).select(F.col("id").alias("road_id"), "src", "dst", "direction", (F.col("id") % 90).cast("double").alias("length_m"))
+    return divmerge_chain_edges(roads, kinds, 50.0, 80.0)
 
 
 _TOPO = "SELECT road_id, src, dst, length_m FROM chain_edges WHERE road_id % 3 <> 0 UNION ALL SELECT 20000000000 + id, id + 3, id, 5 FROM net_nodes WHERE id % 24 = 1 AND id + 3 <= (SELECT count(*) FROM customer)"

@@ -233,3 +233,11 @@ def cells_of_ring(ring: Column, cell: float) -> Column:
     candidates = cells_of_box(box["minx"], box["miny"], box["maxx"], box["maxy"], cell)
     return F.filter(candidates, lambda c: ring_covers(
         F.struct(((c["cx"] + 0.5) * cell).alias("x"), ((c["cy"] + 0.5) * cell).alias("y")), ring))
+
+
+def vertex_turns(pts: Column) -> Column:
+    """Turn in degrees at every inner vertex; null where a piece has no length."""
+    q = pieces(pts)
+    n = F.size(pts) - 2
+    return F.zip_with(F.slice(q, F.lit(1), n), F.slice(q, F.lit(2), n), lambda a, b: turn_angle(
+        a["x1"] - a["x0"], a["y1"] - a["y0"], b["x1"] - b["x0"], b["y1"] - b["y0"]))

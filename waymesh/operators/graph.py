@@ -108,11 +108,13 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, radius: float | Non
     """Least distance per ``unit`` and node from the unit's sources, and the last road of the path.
 
     ``edges`` holds ``src, dst, road_id, length_m`` and, when every unit has its own graph, ``unit``.
-    Only nodes improved in the last round are expanded; ``radius`` bounds the search.
+    Only nodes improved in the last round are expanded; ``radius`` bounds the search. Sources may carry
+    a ``dist_m`` of their own.
     """
     keys = ["unit", "src"] if "unit" in edges.columns else ["src"]
     blank = F.lit(None).cast(edges.schema["road_id"].dataType)
-    best = cut(sources.select("unit", "node", F.lit(0.0).alias("dist_m"), blank.alias("via_road")).distinct())
+    start = F.col("dist_m") if "dist_m" in sources.columns else F.lit(0.0)
+    best = cut(sources.select("unit", "node", start.alias("dist_m"), blank.alias("via_road")).distinct())
     frontier = best
     while True:
         step = frontier.withColumnRenamed("node", "src").join(edges, keys)
@@ -312,3 +314,48 @@ def minimum_spanning_links(edges: DataFrame) -> DataFrame:
         chosen = cut(best if chosen is None else chosen.unionAll(best).distinct())
         labels = connected_components(edges.join(chosen, "road_id", "left_semi").select("src", "dst"), labels.select("node"))
         rest = crossing.select("src", "dst", "road_id", "length_m")
+
+
+def trace_back(distances: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Roads of the shortest paths from the units' sources to their targets.
+
+    ``distances`` comes from ``shortest_distances`` on the same ``edges``. Returns ``unit, target, road_id,
+    from_target`` (0 is the last road of the path).
+    """
+    hop = edges.select(F.col("road_id").alias("via_road"), F.col("dst").alias("node"), F.col("src").alias("_prev"), *(["unit"] if "unit" in edges.columns else []))
+    keys = ["via_road", "node"] + (["unit"] if "unit" in edges.columns else [])
+    steps = distances.where(F.col("via_road").isNotNull()).join(hop, keys).groupBy("unit", "node", "via_road").agg(F.min("_prev").alias("_prev"))
+    steps = cut(steps)
+    frontier = targets.select("unit", F.col("node").alias("target"), "node")
+    found, level = None, 0
+    while True:
+        walked = cut(frontier.join(steps, ["unit", "node"]).select("unit", "target", F.col("via_road").alias("road_id"), F.lit(level).alias("from_target"), "_prev"))
+        if walked.isEmpty():
+            break
+        part = walked.drop("_prev")
+        found = part if found is None else found.unionAll(part)
+        frontier = walked.select("unit", "target", F.col("_prev").alias("node"))
+        level += 1
+    if found is None:
+        return targets.select("unit", F.col("node").alias("target"), F.lit(None).cast(edges.schema["road_id"].dataType).alias("road_id"),
+                              F.lit(0).alias("from_target")).limit(0)
+    return found
+
+
+def greedy_select(members: DataFrame, owners: DataFrame) -> DataFrame:
+    """Owners kept when taken in order of ``rank`` and each may not share a member with one kept before.
+
+    ``members`` holds ``owner, member``; ``owners`` holds ``owner, rank`` with distinct ranks. An owner that
+    ranks first on all of its members is certain, so every round settles all such owners at once.
+    """
+    open_rows = cut(members.select("owner", "member").distinct().join(owners, "owner"))
+    kept = None
+    while True:
+        best = open_rows.groupBy("member").agg(F.min("rank").alias("_best"))
+        sure = cut(open_rows.join(best, "member").groupBy("owner").agg(F.bool_and(F.col("rank") == F.col("_best")).alias("ok")).where("ok").select("owner"))
+        if sure.isEmpty():
+            return owners.join(kept, "owner", "left_semi") if kept is not None else owners.limit(0)
+        kept = sure if kept is None else kept.unionAll(sure)
+        taken = open_rows.join(sure, "owner", "left_semi").select("member").distinct()
+        hit = open_rows.join(taken, "member", "left_semi").select("owner").distinct()
+        open_rows = cut(open_rows.join(hit, "owner", "left_anti"))
