@@ -78,7 +78,7 @@ def _(v):
     return P.clean_carrier(J.canonical_nodes(v.net_nodes), covered, v.net_roads, touching).select("id")
 
 
-@query("trajectory_aggregate", """SELECT CAST(traj AS VARCHAR) || '__seg' || lpad(CAST(part_no AS VARCHAR), greatest(4, length(CAST(part_no AS VARCHAR))), '0') AS piece_id, traj, part_no AS piece_no, count(*) AS point_count,
+@query("trajectory_aggregate", """SELECT CAST(traj AS VARCHAR) || '__seg' || lpad(CAST(part_no AS VARCHAR), CAST(greatest(4, length(CAST(part_no AS VARCHAR))) AS INTEGER), '0') AS piece_id, traj, part_no AS piece_no, count(*) AS point_count,
     arg_min(seq, struct_pack(t := ts_us, s := seq)) AS start_seq, arg_max(seq, struct_pack(t := ts_us, s := seq)) AS end_seq, CASE WHEN count(*) < 2 THEN 'cannot_form_linestring' END AS discard_reason
     FROM track_parts GROUP BY traj, part_no""")
 def _(v):

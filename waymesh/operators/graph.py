@@ -359,3 +359,17 @@ def greedy_select(members: DataFrame, owners: DataFrame) -> DataFrame:
         taken = open_rows.join(sure, "owner", "left_semi").select("member").distinct()
         hit = open_rows.join(taken, "member", "left_semi").select("owner").distinct()
         open_rows = cut(open_rows.join(hit, "owner", "left_anti"))
+
+
+def distances_through(edges: DataFrame, starts: DataFrame, stops: DataFrame, radius: float | None = None) -> DataFrame:
+    """Least distances from each unit's starts when the search does not go on from stops other than them.
+
+    Stops are still reached. ``starts`` holds ``unit, node``.
+    """
+    plain = edges.select("src", "dst", "road_id", "length_m")
+    onward = plain.join(stops.select(F.col("node").alias("src")), "src", "left_anti")
+    first = plain.join(starts.select("unit", F.col("node").alias("src")), "src").groupBy("unit", F.col("dst").alias("node")).agg(
+        F.min(F.col("length_m").cast("double")).alias("dist_m"))
+    if radius is not None:
+        first = first.where(F.col("dist_m") <= radius)
+    return shortest_distances(onward, first, radius)

@@ -8,7 +8,7 @@ from ..functions.geometry import max_sampled_distance, vertex_turns
 from ..functions.scalar import digest_id, is_inbound, is_outbound
 from ..lineage import cut
 from ..operators.angles import straightest
-from ..operators.graph import (conflict_components, connected_components, follow_chain, greedy_select, prune_leaves, reachable,
+from ..operators.graph import (conflict_components, connected_components, distances_through, follow_chain, greedy_select, prune_leaves, reachable,
                                shortest_distances, through_pairs, trace_back, unit_components)
 
 
@@ -122,15 +122,9 @@ def retype_strict_t(nodes: DataFrame, families: DataFrame) -> DataFrame:
 def segment_pairs(edges: DataFrame, seeds: DataFrame, through: DataFrame) -> DataFrame:
     """Candidate segments between seeds joined both ways through pass-through nodes, with both lengths."""
     pairs = cut(through_pairs(edges, seeds, seeds, through))
-    open_edges = edges.select("src", "dst", "road_id", "length_m")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    starts = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(F.col("node").alias("unit"), "node")
     stops = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(through, "node", "left_anti")
-    # a search leaves its own seed and then only pass-through nodes
-    onward = open_edges.join(stops.withColumnRenamed("node", "src"), "src", "left_anti")
-    first = open_edges.join(ends.withColumnRenamed("node", "src"), "src")
-    own = first.select(F.col("src").alias("unit"), "src", "dst", "road_id", "length_m")
-    start = own.groupBy("unit", F.col("dst").alias("node")).agg(F.min(F.struct("length_m", "road_id")).alias("o"))
-    reached = shortest_distances(onward, start.select("unit", "node", F.col("o.length_m").cast("double").alias("dist_m")))
+    reached = distances_through(edges, starts, stops)
     there = reached.select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("dist_m").alias("forward_m"))
     back = reached.select(F.col("unit").alias("b"), F.col("node").alias("a"), F.col("dist_m").alias("backward_m"))
     return pairs.join(there, ["a", "b"]).join(back, ["a", "b"])
