@@ -4,6 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import geometry as G
 
@@ -47,7 +48,7 @@ def straightest(incoming: DataFrame, outgoing: DataFrame, keys: list[str]) -> Da
         *keys, "in_id", "best.out_id", "best.turn_deg")
 
 
-def _fold_bundles(rows: pd.DataFrame) -> pd.DataFrame:
+def _fold_bundles(rows) -> list[dict]:
     """Bundle the directions of one junction and pair outbound with inbound bundles.
 
     ``rows`` is at most one row per role and tenth of a degree.
@@ -61,19 +62,19 @@ def _fold_bundles(rows: pd.DataFrame) -> pd.DataFrame:
         return abs((a - b + 180.0) % 360.0 - 180.0)
 
     bundles = []
-    for row in rows.sort_values(["role", "tenth"]).itertuples():
-        angle = row.tenth / 10.0
-        near = [(gap(angle, mean(b)), i) for i, b in enumerate(bundles) if b["role"] == row.role]
+    for row in sorted(rows, key=lambda r: (r["role"], r["tenth"])):
+        angle, n = row["tenth"] / 10.0, row["n"]
+        near = [(gap(angle, mean(b)), i) for i, b in enumerate(bundles) if b["role"] == row["role"]]
         near = [n for n in near if n[0] <= BUNDLE_DEG]
-        add_s, add_c = row.n * math.sin(math.radians(angle)), row.n * math.cos(math.radians(angle))
+        add_s, add_c = n * math.sin(math.radians(angle)), n * math.cos(math.radians(angle))
         if near:
             bundle = bundles[min(near)[1]]
             bundle["s"] += add_s
             bundle["c"] += add_c
-            bundle["n"] += row.n
-            bundle["first"] = min(bundle["first"], row.first_id)
+            bundle["n"] += n
+            bundle["first"] = min(bundle["first"], row["first_id"])
         else:
-            bundles.append({"role": row.role, "s": add_s, "c": add_c, "n": row.n, "first": row.first_id})
+            bundles.append({"role": row["role"], "s": add_s, "c": add_c, "n": n, "first": row["first_id"]})
     for bundle in bundles:
         bundle["mean"] = mean(bundle)
     outs = sorted((b for b in bundles if b["role"] == "outbound"), key=lambda b: (b["mean"], b["first"]))
@@ -106,13 +107,13 @@ def _fold_bundles(rows: pd.DataFrame) -> pd.DataFrame:
     result = []
     for arm in arms:
         roles = {b["role"] for b in arm}
-        result.append({"junction_id": rows["junction_id"].iloc[0], "arm_no": 0,
-                       "arm_role": "bidirectional" if len(roles) > 1 else roles.pop(),
-                       "mean_deg": round(arm[0]["mean"], 3), "roads": sum(b["n"] for b in arm),
-                       "first_road_id": min(b["first"] for b in arm)})
-    frame = pd.DataFrame(result).sort_values(["mean_deg", "first_road_id"])
-    frame["arm_no"] = range(1, len(frame) + 1)
-    return frame
+        result.append({"arm_role": "bidirectional" if len(roles) > 1 else roles.pop(), "mean_deg": round(arm[0]["mean"], 3),
+                       "roads": sum(b["n"] for b in arm), "first_road_id": min(b["first"] for b in arm)})
+    return sorted(result, key=lambda a: (a["mean_deg"], a["first_road_id"]))
+
+
+def _fold_column(column: pd.Series) -> pd.Series:
+    return column.map(lambda rows: _fold_bundles(list(rows)))
 
 
 def bundle_arms(ends: DataFrame) -> DataFrame:
@@ -124,5 +125,6 @@ def bundle_arms(ends: DataFrame) -> DataFrame:
     counted = ends.where(F.col("angle").isNotNull()).groupBy(
         "junction_id", "role", F.round(F.col("angle") * 10).cast("int").alias("tenth")).agg(
         F.count("*").alias("n"), F.min("id").alias("first_id"))
-    return counted.groupBy("junction_id").applyInPandas(
-        _fold_bundles, "junction_id bigint, arm_no int, arm_role string, mean_deg double, roads bigint, first_road_id bigint")
+    fold = pandas_udf(_fold_column, "array<struct<arm_role:string,mean_deg:double,roads:bigint,first_road_id:bigint>>")
+    gathered = counted.groupBy("junction_id").agg(F.collect_list(F.struct("role", "tenth", "n", "first_id")).alias("rows"))
+    return gathered.select("junction_id", F.posexplode(fold("rows")).alias("arm_no", "a")).select("junction_id", (F.col("arm_no") + 1).alias("arm_no"), "a.*")

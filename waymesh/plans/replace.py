@@ -305,9 +305,9 @@ def advance_right_contract(roads: DataFrame, segment_states: DataFrame) -> DataF
 
 def unreplaced_attribution(roads: DataFrame) -> DataFrame:
     """Class of carrier roads that no segment took, tested in the order 5, 4, 3, 2, 1, 6."""
-    cls = (F.when("planned AND NOT applied", "5_replaceable_scope_unreplaced").when("has_relation AND NOT replaceable", "4_relation_scope_not_replaceable")
-           .when("has_evidence AND NOT has_relation", "3_evidence_scope_no_relation").when("in_scope AND NOT has_evidence", "2_swsd_scope_no_t06_evidence")
-           .when("NOT in_scope", "1_outside_swsd_scope").otherwise("6_manual_audit"))
+    cls = (F.when(F.expr("planned AND NOT applied"), "5_replaceable_scope_unreplaced").when(F.expr("has_relation AND NOT replaceable"), "4_relation_scope_not_replaceable")
+           .when(F.expr("has_evidence AND NOT has_relation"), "3_evidence_scope_no_relation").when(F.expr("in_scope AND NOT has_evidence"), "2_swsd_scope_no_t06_evidence")
+           .when(F.expr("NOT in_scope"), "1_outside_swsd_scope").otherwise("6_manual_audit"))
     return roads.withColumn("attribution_class", cls)
 
 
