@@ -108,7 +108,7 @@ def profile_scores(v):
 
 
 @query("arm_alignment_score", """WITH p AS (SELECT *, degrees(atan2(s, c)) AS t, CASE WHEN has_in AND has_out THEN 'b' WHEN has_in THEN 'i' ELSE 'o' END AS r FROM arm_profiles), q AS (SELECT a.junction_id, a.arm AS left_arm, b.arm AS right_arm, a.r AS lr, b.r AS rr,
-    least(abs(a.t - b.t), 360 - abs(a.t - b.t)) AS d, least(a.roads, b.roads) / CAST(greatest(a.roads, b.roads) AS DOUBLE) AS k FROM p a JOIN p b ON a.junction_id = b.junction_id WHERE a.dataset = 0 AND b.dataset = 1)
+    round(least(abs(a.t - b.t), 360 - abs(a.t - b.t)), 6) AS d, least(a.roads, b.roads) / CAST(greatest(a.roads, b.roads) AS DOUBLE) AS k FROM p a JOIN p b ON a.junction_id = b.junction_id WHERE a.dataset = 0 AND b.dataset = 1)
     SELECT junction_id, left_arm, right_arm, round(CASE WHEN lr = rr THEN 25.0 WHEN lr = 'b' OR rr = 'b' THEN 22.0 ELSE 18.0 END + CASE WHEN d <= 20 THEN 25.0 WHEN d <= 45 THEN 18.0 WHEN d <= 90 THEN 10.0 ELSE 4.0 END + 10.0 + CASE WHEN k >= 0.65 THEN 20.0 WHEN k >= 0.35 THEN 14.0 ELSE 8.0 END
     + round(15.0 * (1 - least(d, 90.0) / 90.0), 2), 2) AS score FROM q""")
 def _(v):

@@ -41,7 +41,7 @@ def arm_scores(profiles: DataFrame, left_set: int, right_set: int) -> DataFrame:
     pairs = a.join(b, "junction_id")
     lr, rr = _role(F.col("l_has_in"), F.col("l_has_out")), _role(F.col("r_has_in"), F.col("r_has_out"))
     role = (F.when(lr.isNull() | rr.isNull(), 10.0).when(lr == rr, 25.0).when((lr == "bidirectional") | (rr == "bidirectional"), 22.0).otherwise(18.0))
-    delta = angular_distance(F.col("l_trend"), F.col("r_trend"))
+    delta = F.round(angular_distance(F.col("l_trend"), F.col("r_trend")), 6)
     trend = F.when(delta <= 20, 25.0).when(delta <= 45, 18.0).when(delta <= 90, 10.0).otherwise(4.0)
     ratio = F.least("l_roads", "r_roads") / F.greatest("l_roads", "r_roads")
     cover = F.when(ratio >= 0.65, 20.0).when(ratio >= 0.35, 14.0).otherwise(8.0)
