@@ -80,16 +80,26 @@ def map_match(samples: DataFrame, roads: DataFrame, limit: float, max_turn: floa
     delta = direction_delta(F.col("lane_deg"), F.col("line_deg"), F.col("direction"))
     near = pairs.withColumn("delta", delta).where(F.col("delta") <= max_turn).withColumn("score", F.col("dist") + 0.10 * F.col("delta"))
     best = top_k(near, ["lane_id", "i"], [F.col("score"), F.col("line_id")], k)
-    cands = best.groupBy("lane_id", "i").agg(F.array_sort(F.collect_list(F.struct("score", F.col("line_id").alias("road_id"), "ends"))).alias("c"))
-    every = samples.select("lane_id", "i").join(cands, ["lane_id", "i"], "left").select("lane_id", "i", F.coalesce("c", F.array().cast(cands.schema["c"].dataType)).alias("c"))
-    lanes = every.groupBy("lane_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("s"))
+    flat = F.struct("i", "score", F.col("line_id").alias("road_id"), F.col("ends")[0].alias("e0"), F.col("ends")[1].alias("e1"))
+    every = samples.select("lane_id", "i").join(best.select("lane_id", "i", "score", "line_id", "ends"), ["lane_id", "i"], "left")
+    lanes = every.groupBy("lane_id").agg(F.array_sort(F.collect_list(flat)).alias("s"))
 
     def solve(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: _cheapest_path(s, adjacent, unrelated, 20.0))
+        return column.map(lambda rows: _cheapest_path(_by_sample(rows), adjacent, unrelated, 20.0))
 
     return lanes.select("lane_id", F.posexplode(pandas_udf(solve, "array<bigint>")("s")).alias("i", "road_id"))
 
 
+def _by_sample(rows) -> list:
+    """Candidate lists in sample order; a sample without candidates has an empty list."""
+    samples: dict[int, list] = {}
+    for row in rows:
+        found = samples.setdefault(int(row["i"]), [])
+        if row["road_id"] is not None and row["road_id"] == row["road_id"]:
+            found.append({"score": row["score"], "road_id": int(row["road_id"]), "ends": (row["e0"], row["e1"])})
+    return [samples[i] for i in sorted(samples)]
+
+
 def support_intervals(samples: DataFrame, spacing: float) -> DataFrame:
     """Stretches of each road with equal support; ``samples`` holds ``road_id, i, supported``."""
     parts = sessionize(samples, "road_id", ["i"], F.col("supported") != F.col("prev_supported"), ["supported"], 1000.0)
