@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import pairs_reachable
+from ..operators.graph import conflict_components, pairs_reachable
 from ..operators.topk import top_k
 
 
@@ -36,3 +36,55 @@ def required_directions(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     found = pairs_reachable(keyed, tagged)
     listed = found.groupBy("unit.unit").agg(F.array_sort(F.collect_set(F.when(F.col("reached"), F.col("unit.way")))).alias("d"))
     return pairs.join(listed, "unit").select("unit", "a", "b", F.array_join("d", ",").alias("directions"))
+
+
+# Code, group and severity-bearing object of each quality issue.
+ISSUES = {
+    "segment_required_direction_unavailable": ("S01", "segment"), "segment_required_connection_missing": ("S02", "segment"),
+    "segment_unexpected_reverse_passability": ("S03", "segment"), "junction_required_topology_missing": ("J01", "junction"),
+    "junction_unmatched_support_topology": ("J02", "junction"), "junction_anchor_one_to_many": ("J03", "junction"),
+    "junction_anchor_many_to_one": ("J04", "junction"),
+}
+
+
+def with_issue_code(rows: DataFrame) -> DataFrame:
+    """Issue rows with their code and object type; unknown types keep null."""
+    pairs = [F.lit(x) for kind, (code, obj) in ISSUES.items() for x in (kind, f"{code}|{obj}")]
+    text = F.element_at(F.create_map(*pairs), F.col("issue_type"))
+    return rows.withColumns({"issue_code": F.split(text, r"\|")[0], "object_type": F.split(text, r"\|")[1]})
+
+
+def carrier_equivalence(paths: DataFrame) -> DataFrame:
+    """Whether a carrier path stands for a source path: length ratio, extra length and distance within limits."""
+    ratio = F.when(F.col("reference_m") > 0, F.col("length_m") / F.col("reference_m"))
+    ok = (F.col("length_m") == 0) | (F.coalesce(ratio <= 1.5, F.lit(False)) & (F.col("length_m") - F.col("reference_m") <= 100) & (F.col("max_distance_m") <= 50))
+    return paths.select("path_id", F.round(ratio, 6).alias("ratio"), ok.alias("accepted"))
+
+
+def missing_directions(source: DataFrame, carrier: DataFrame, ends: DataFrame) -> DataFrame:
+    """Directions a segment needs by its source that its carrier does not offer."""
+    need = required_directions(source, ends).select("unit", F.explode(F.split("directions", ",")).alias("direction")).where("direction != ''")
+    have = required_directions(carrier, ends).select("unit", F.explode(F.split("directions", ",")).alias("direction"))
+    return need.join(have, ["unit", "direction"], "left_anti").withColumn("issue_type", F.lit("segment_required_direction_unavailable"))
+
+
+def unexpected_reverse(source: DataFrame, carrier: DataFrame, ends: DataFrame) -> DataFrame:
+    """Directions the carrier offers on segments that are one-way in the source."""
+    need = required_directions(source, ends).where("directions != '' AND NOT contains(directions, ',')").select("unit", F.col("directions").alias("only"))
+    have = required_directions(carrier, ends).select("unit", F.explode(F.split("directions", ",")).alias("direction")).where("direction != ''")
+    return have.join(need, "unit").where("direction != only").select("unit", "direction")
+
+
+def publish_decisions(candidates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Every candidate in exactly one of confirmed, excluded and manual; reviews from outside win."""
+    other = overrides.groupBy("candidate_id").agg(F.min("status").alias("_o"))
+    joined = candidates.join(other, "candidate_id", "left")
+    auto = F.when(F.col("score") >= 0.8, "confirmed").when(F.col("score") < 0.3, "excluded").otherwise("manual")
+    return joined.select("candidate_id", F.coalesce("_o", auto).alias("decision"), F.when(F.col("_o").isNotNull(), "external_review_override").otherwise("automatic").alias("source"))
+
+
+def junction_conflict_groups(hits: DataFrame) -> DataFrame:
+    """Junctions that share surfaces, as groups named by their smallest member."""
+    comp = conflict_components(hits.select(F.col("junction_id").alias("owner"), F.col("surface_id").alias("member")))
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return comp.join(sizes, "component", "left_semi").select(F.col("owner").alias("junction_id"), F.col("component").alias("group_id"))
