@@ -107,7 +107,7 @@ def _(v):
 
 @query("sample_line", "SELECT id, CAST(i AS INTEGER) AS i, round(x, 4) + 0 AS x, round(y, 4) + 0 AS y FROM road_samples")
 def _(v):
-    samples = v.net_roads.select("id", F.posexplode(G.sample(P(), 10.0)).alias("i", "p"))
+    samples = v.spread(v.net_roads).select("id", F.posexplode(G.sample(P(), 10.0)).alias("i", "p"))
     return samples.select("id", "i", rounded(F.col("p.x"), 4).alias("x"), rounded(F.col("p.y"), 4).alias("y"))
 
 
@@ -124,18 +124,18 @@ def _(v):
 
 @query("max_sampled_distance", "SELECT id, round(max(d), 4) AS max_m FROM chord_distances GROUP BY id")
 def _(v):
-    return v.net_roads.select("id", F.round(G.max_sampled_distance(P(), chord(P()), 10.0), 4).alias("max_m"))
+    return v.spread(v.net_roads).select("id", F.round(G.max_sampled_distance(P(), chord(P()), 10.0), 4).alias("max_m"))
 
 
 @query("chamfer_distance", """SELECT a.id, round((a.d + b.d) / 2, 4) AS chamfer_m FROM
     (SELECT id, avg(d) AS d FROM chord_distances GROUP BY id) a JOIN (SELECT id, avg(d) AS d FROM chord_back_distances GROUP BY id) b ON a.id = b.id""")
 def _(v):
-    return v.net_roads.select("id", F.round(G.chamfer_distance(P(), chord(P()), 10.0), 4).alias("chamfer_m"))
+    return v.spread(v.net_roads).select("id", F.round(G.chamfer_distance(P(), chord(P()), 10.0), 4).alias("chamfer_m"))
 
 
 @query("coverage_ratio", "SELECT id, round(count_if(d <= 5) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM chord_distances GROUP BY id")
 def _(v):
-    return v.net_roads.select("id", F.round(G.coverage_ratio(P(), chord(P()), 5.0, 10.0), 6).alias("ratio"))
+    return v.spread(v.net_roads).select("id", F.round(G.coverage_ratio(P(), chord(P()), 5.0, 10.0), 6).alias("ratio"))
 
 
 @query("substring_line", """SELECT l.id, round(total * 0.5, 4) AS length_m, count(p.pos) + 2 AS points FROM road_length l LEFT JOIN road_pieces p
@@ -150,7 +150,7 @@ def _(v):
 @query("split_line_at_measures")
 def _(v):
     cuts = G.normalized_cuts(F.array(G.length(P()) * 0.3, G.length(P()) * 0.32, G.length(P()) * 0.7), G.length(P()), 3.0, 1.0)
-    parts = v.net_roads.select("id", F.posexplode(G.split_at(P(), cuts)).alias("part", "line"))
+    parts = v.spread(v.net_roads).select("id", F.posexplode(G.split_at(P(), cuts)).alias("part", "line"))
     return parts.select("id", "part", F.round(G.length(F.col("line")), 4).alias("length_m"), F.size("line").alias("points"))
 
 
@@ -202,7 +202,7 @@ def _(v):
     (SELECT id, count_if(d > 5) / CAST(count(*) AS DOUBLE) AS b FROM chord_back_distances GROUP BY id) USING (id)) s ON s.id = a.id""")
 def _(v):
     share = F.greatest(1 - G.coverage_ratio(P(), chord(P()), 5.0, 10.0), 1 - G.coverage_ratio(chord(P()), P(), 5.0, 10.0))
-    measured = v.net_roads.select("id", G.length(P()).alias("total"), share.alias("share"))
+    measured = v.spread(v.net_roads).select("id", G.length(P()).alias("total"), share.alias("share"))
     outside = F.col("total") * F.col("share")
     return measured.select("id", F.round(outside, 4).alias("outside_m"), F.round("share", 6).alias("outside_ratio"),
                            ((F.round("share", 9) <= 0.1) | (outside <= 20)).alias("acceptable"))
@@ -219,7 +219,7 @@ def _(v):
 
 @query("grid_cells_of_line")
 def _(v):
-    return v.net_roads.select("id", F.explode(G.cells_of_line(P(), 25.0)).alias("c")).select("id", "c.cx", "c.cy")
+    return v.spread(v.net_roads).select("id", F.explode(G.cells_of_line(P(), 25.0)).alias("c")).select("id", "c.cx", "c.cy")
 
 
 @query("grid_cells_of_ring", """SELECT surface_id, cx, cy FROM (SELECT surface_id, x0, x1, y0, y1, cx, unnest(range(CAST(floor(y0 / 5) AS BIGINT),

@@ -69,7 +69,7 @@ def _(v):
 @query("kind_enrich")
 def _(v):
     from ..plans.preprocess import kind_enrich
-    return kind_enrich(v.link_roads.select("id", "pts"), v.net_roads.select(F.col("id").alias("line_id"), "pts", "kind"), 5.0, 5.0)
+    return kind_enrich(v.spread(v.link_roads).select("id", "pts"), v.spread(v.net_roads).select(F.col("id").alias("line_id"), "pts", "kind"), 5.0, 5.0)
 
 
 @query("restriction_pair_join", """SELECT c.memo, c.in_link, c.out_link, i.x0 AS in_x, o.x0 AS out_x FROM conditions c LEFT JOIN link_roads i

@@ -24,8 +24,8 @@ def _(v):
 
 @query("map_match_viterbi")
 def _(v):
-    lanes = v.net_roads.select(F.col("id").alias("lane_id"), "pts")
-    roads = v.link_roads.select(F.col("id").alias("line_id"), "pts", "direction", F.array("snodeid", "enodeid").alias("ends"))
+    lanes = v.spread(v.net_roads).select(F.col("id").alias("lane_id"), "pts")
+    roads = v.spread(v.link_roads).select(F.col("id").alias("line_id"), "pts", "direction", F.array("snodeid", "enodeid").alias("ends"))
     return L.map_match(lane_samples(lanes, 10.0), roads, 25.0)
 
 

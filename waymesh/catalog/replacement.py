@@ -41,7 +41,7 @@ def gates(v):
 
 
 def with_carrier(v):
-    return v.net_roads.select("id", "pts", chord(F.col("pts")).alias("carrier"))
+    return v.spread(v.net_roads).select("id", "pts", chord(F.col("pts")).alias("carrier"))
 
 
 @query("fusion_units", """WITH c AS (SELECT s.segment_id, pos, m.id IS NOT NULL AS h, n.node_id IS NULL AND m.id IS NULL AS lost, coalesce(role = 'junc' AND n.kind_2 = 1 AND m.id IS NULL AND coalesce(has_evd, '') <> 'yes', false) AS det,
@@ -58,8 +58,8 @@ def _(v):
 
 @query("corridor_candidates")
 def _(v):
-    carriers = v.link_roads.select(F.col("id").alias("road_id"), "pts", F.when(F.col("id") % 9 == 0, 128).otherwise(0).alias("formway"), (F.col("id") % 2 == 0).alias("linked"))
-    found = RP.corridor_candidates(v.net_roads.select(F.col("id").alias("segment_id"), "pts"), carriers, 15.0, 5.0)
+    carriers = v.spread(v.link_roads).select(F.col("id").alias("road_id"), "pts", F.when(F.col("id") % 9 == 0, 128).otherwise(0).alias("formway"), (F.col("id") % 2 == 0).alias("linked"))
+    found = RP.corridor_candidates(v.spread(v.net_roads).select(F.col("id").alias("segment_id"), "pts"), carriers, 15.0, 5.0)
     return found.select("segment_id", "road_id", F.round("ratio", 4).alias("ratio"))
 
 

@@ -74,7 +74,7 @@ VIEW_SQL["road_turns"] = f"SELECT id, {_TURN.format(a=1, b=2, c=3)} AS t1, {_TUR
 @query("pair_validate", """SELECT id AS pair_id, round(d, 3) AS separation_m, round(greatest(t1, t2), 3) AS turn_deg, CASE WHEN d > greatest(20, id % 30) THEN 'dual_separation_exceeded'
     WHEN greatest(t1, t2) > 60 THEN 'internal_turn_exceeded' END AS reject_reason FROM road_turns JOIN (SELECT id, max(d) AS d FROM chord_distances GROUP BY id) USING (id)""")
 def _(v):
-    pairs = v.net_roads.select(F.col("id").alias("pair_id"), "pts", chord(F.col("pts")).alias("opposite"), (F.col("id") % 30).alias("junction_width"))
+    pairs = v.spread(v.net_roads).select(F.col("id").alias("pair_id"), "pts", chord(F.col("pts")).alias("opposite"), (F.col("id") % 30).alias("junction_width"))
     return SG.validate_pairs(pairs, 20.0).select("pair_id", F.round("separation_m", 3).alias("separation_m"), F.round("turn_deg", 3).alias("turn_deg"), "reject_reason")
 
 

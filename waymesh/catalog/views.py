@@ -99,6 +99,11 @@ class Views:
             ).alias("pts"),
         )
 
+    def spread(self, df: DataFrame, key: str = "id") -> DataFrame:
+        """Rows over all cores when the input has fewer splits than that; large inputs stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def road_points(self) -> DataFrame:
         return self.net_roads.select("id", F.posexplode("pts").alias("pos", "p")).select(

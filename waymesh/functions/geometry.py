@@ -136,7 +136,8 @@ def max_sampled_distance(pts: Column, reference: Column, spacing: float) -> Colu
 
 
 def array_mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.size(values)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(values, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")), lambda acc: acc["s"] / acc["n"])
 
 
 def chamfer_distance(a: Column, b: Column, spacing: float) -> Column:
@@ -146,8 +147,10 @@ def chamfer_distance(a: Column, b: Column, spacing: float) -> Column:
 
 def coverage_ratio(pts: Column, reference: Column, limit: float, spacing: float) -> Column:
     """Share of samples within ``limit`` of the reference."""
-    distances = sampled_distances(pts, reference, spacing)
-    return F.size(F.filter(distances, lambda d: d <= limit)) / F.size(distances)
+    start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("n"))
+    return F.aggregate(sampled_distances(pts, reference, spacing), start,
+                       lambda acc, d: F.struct((acc["hit"] + (d <= limit).cast("int")).alias("hit"), (acc["n"] + 1).alias("n")),
+                       lambda acc: acc["hit"] / acc["n"])
 
 
 def substring(pts: Column, start: Column, end: Column) -> Column:
