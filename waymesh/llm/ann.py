@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .shared import saved, scratch
 
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
 BATCH, SHARD_NODES, QUERY_BLOCK = 512, 16_384, 512
 TOP, EVERY = 20, 20
 SHARE = 64
