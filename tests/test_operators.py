@@ -7,7 +7,7 @@ from waymesh.functions import geometry as G
 from waymesh.operators import graph as GR
 from waymesh.operators import spatial as SP
 from waymesh.operators.aggregates import cardinality_errors, in_out_degree
-from waymesh.operators.assignment import exclusive_assignment
+from waymesh.operators.assignment import exclusive_assignment, greedy_assignment
 from waymesh.operators.ordered import sessionize, with_running_sum
 from waymesh.operators.quantiles import exact_quantiles
 from waymesh.plans.preprocess import lane_groups
@@ -84,7 +84,7 @@ def test_quantiles_interpolate(spark):
 def test_exclusive_assignment_prefers_more_matches_then_score(spark):
     pairs = spark.createDataFrame([(1, 1, 1, 10.0), (1, 1, 2, 9.0), (1, 2, 1, 9.0)], "unit long, left long, right long, score double")
     assert {(r.left, r.right) for r in exclusive_assignment(pairs).collect()} == {(1, 2), (2, 1)}
-    assert {(r.left, r.right) for r in exclusive_assignment(pairs, limit=1).collect()} == {(1, 1)}
+    assert {(r.left, r.right) for r in greedy_assignment(pairs).collect()} == {(1, 1)}
 
 
 def test_degree_counts_inner_roads_both_ways(spark):
@@ -110,3 +110,39 @@ def test_lane_groups_follow_sequence(spark):
 def test_line_cuts_merge_and_drop(spark):
     df = spark.range(1).select(G.normalized_cuts(F.array(*[F.lit(x) for x in (0.5, 4.0, 5.0, 9.8)]), F.lit(10.0), 2.0, 1.0).alias("c"))
     assert df.first().c == [4.5]
+
+
+def test_assignment_is_exact_at_every_size(spark):
+    from waymesh.operators.assignment import best_matching, exclusive_assignment
+    import itertools
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for rows, columns in ((1, 1), (3, 5), (6, 4), (6, 6)):
+        gain = rng.integers(1, 50, (rows, columns)).astype(float)
+        wide = np.concatenate((gain, np.zeros((rows, rows))), axis=1)
+        want = max(sum(wide[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(columns + rows), rows)) if rows < 5 else None
+        got = best_matching(gain)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+        assert want is None or sum(gain[p] for p in got) == want
+    table = [(1, i, j, float(10 if i == j else 9 - (i - j) % 4)) for i in range(4) for j in range(4)]
+    found = exclusive_assignment(spark.createDataFrame(table, "unit long, left long, right long, score double")).collect()
+    assert sum(r["score"] for r in found) == 40.0 and len(found) == 4
+
+
+def test_alias_rings_take_their_smallest_member(spark):
+    from waymesh.operators.graph import flatten_aliases
+    rows = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (9, 8)], "alias_id long, target_id long")
+    assert {r["alias_id"]: r["root_id"] for r in flatten_aliases(rows).collect()} == {1: 1, 2: 1, 3: 1, 9: 8}
+
+
+def test_spanning_links_of_nothing(spark):
+    from waymesh.operators.graph import minimum_spanning_links
+    loops = spark.createDataFrame([(1, 1, 7, 2.0)], "src long, dst long, road_id long, length_m double")
+    assert minimum_spanning_links(loops).columns == ["road_id"] and minimum_spanning_links(loops).count() == 0
+
+
+def test_full_rank_is_a_row_number(spark):
+    from waymesh.operators.topk import full_rank
+    rows = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 9, 3), (2, 1, 4)], "b int, v int, i int")
+    assert {r["i"]: r["rank_no"] for r in full_rank(rows, "b", "v", "i").collect()} == {3: 1, 1: 2, 2: 3, 4: 1}

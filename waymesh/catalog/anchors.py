@@ -7,7 +7,7 @@ from ..operators import graph as GR
 from ..operators import joins as J
 from ..operators import spatial as SP
 from ..operators.arms import incident_ends
-from ..operators.assignment import exclusive_assignment
+from ..operators.assignment import greedy_assignment
 from ..operators.cells import assemble_surface
 from ..plans import anchor as AN
 from ..plans.preprocess import roundabout_nodes
@@ -144,7 +144,7 @@ def unit_pairs(v):
 
 @query("divmerge_arbitrate")
 def _(v):
-    return exclusive_assignment(unit_pairs(v)).select("unit", "left", "right", "score")
+    return greedy_assignment(unit_pairs(v)).select("unit", "left", "right", "score")
 
 
 @query("claim_conflicts")

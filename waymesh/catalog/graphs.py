@@ -160,11 +160,11 @@ def _(v):
 
 
 @query("enumerate_simple_paths", """WITH p(unit, node, nodes, roads) AS (SELECT (id - 1) // 8, id, [id], []::BIGINT[] FROM net_nodes WHERE id % 8 = 1 UNION ALL
-    SELECT p.unit, e.dst, list_append(p.nodes, e.dst), list_append(p.roads, e.road_id) FROM p JOIN chain_both e ON e.src = p.node AND e.unit = p.unit WHERE len(p.roads) < 5 AND NOT list_contains(p.nodes, e.dst))
+    SELECT p.unit, e.dst, list_append(p.nodes, e.dst), list_append(p.roads, e.road_id) FROM p JOIN chain_both e ON e.src = p.node AND e.unit = p.unit WHERE len(p.roads) < 7 AND NOT list_contains(p.nodes, e.dst))
     SELECT unit, array_to_string(nodes, '-') AS path, len(roads) AS edges FROM p WHERE len(roads) > 0""")
 def _(v):
     starts = v.net_nodes.where(F.col("id") % 8 == 1).select(F.floor((F.col("id") - 1) / 8).alias("unit"), F.col("id").alias("node"))
-    paths = GR.simple_paths(GR.both_ways(chain_edges(v).select("unit", "src", "dst", "road_id")), starts, 5)
+    paths = GR.simple_paths(GR.both_ways(chain_edges(v).select("unit", "src", "dst", "road_id")), starts, 7)
     return paths.select("unit", F.array_join("nodes", "-").alias("path"), F.size("roads").cast("bigint").alias("edges"))
 
 

@@ -330,10 +330,11 @@ def _(v):
     return RP.backfill_node_map(maps, v.relations.where("status = 0").select(F.col("target_id").alias("node_id"), "base_id"))
 
 
-@query("transition_closure", """WITH rb AS (SELECT segment_id FROM lookup WHERE reason IS NOT NULL AND segment_id % 5000 = 0), o AS (SELECT node_id FROM seg_nodes WHERE segment_id IN (SELECT * FROM rb) GROUP BY node_id HAVING count(DISTINCT segment_id) = 1)
+@query("transition_closure", """WITH rb AS (SELECT segment_id FROM lookup WHERE reason IS NOT NULL AND segment_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')), o AS (SELECT node_id FROM seg_nodes WHERE segment_id IN (SELECT * FROM rb) GROUP BY node_id HAVING count(DISTINCT segment_id) = 1)
     SELECT DISTINCT segment_id FROM seg_nodes WHERE node_id IN (SELECT * FROM o) AND segment_id NOT IN (SELECT * FROM rb) AND segment_id % 2 = 0""")
 def _(v):
-    rolled = lookup(v).where("NOT passed AND segment_id % 5000 = 0").select("segment_id")
+    urgent = v.orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("segment_id"))
+    rolled = lookup(v).where("NOT passed").select("segment_id").join(urgent, "segment_id", "left_semi")
     return RP.transition_closure(rolled, v.seg_nodes.select("segment_id", "node_id"), v.net_roads.where("id % 2 = 0").select(F.col("id").alias("segment_id")))
 
 

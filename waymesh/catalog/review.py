@@ -1,7 +1,7 @@
 """Review lists, cases and manual decisions."""
 from pyspark.sql import functions as F
 
-from ..operators.topk import top_k
+from ..operators.topk import full_rank, top_k
 from ..plans import review as RV
 from .joins import relation_last
 from .registry import query
@@ -29,7 +29,7 @@ def _(v):
 @query("root_cause_priority", "SELECT reason, segments, CAST(row_number() OVER (ORDER BY segments DESC, reason) AS INTEGER) AS rank_no FROM (SELECT reason, count(*) AS segments FROM lookup WHERE reason IS NOT NULL GROUP BY 1)")
 def _(v):
     counted = lookup(v).where("NOT passed").groupBy("reason").agg(F.count("*").alias("segments")).withColumn("_all", F.lit(1))
-    return top_k(counted, ["_all"], [F.col("segments").desc(), F.col("reason")], 1000).select("reason", "segments", "rank_no")
+    return full_rank(counted, "_all", "segments", "reason").select("reason", "segments", "rank_no")
 
 
 @query("manual_apply", """WITH m AS (SELECT l_partkey AS target_id, l_suppkey AS base_id, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem WHERE l_linenumber = 7) SELECT target_id, base_id, CASE WHEN n > 1 THEN 'duplicate_target' WHEN base_id = 0 THEN 'rejected_no_base' WHEN target_id NOT IN (SELECT target_id FROM relations) THEN 'rejected_unknown_target'

@@ -6,7 +6,7 @@ from ..functions.scalar import rounded
 from ..operators import ordered as O
 from ..operators.angles import bundle_arms, straightest
 from ..operators.arms import incident_ends
-from ..operators.topk import first_per_key, margin_to_second, top_k
+from ..operators.topk import first_per_key, full_rank, margin_to_second, top_k
 from .joins import canon_roads
 from .registry import query
 from .views import VIEW_SQL
@@ -94,11 +94,11 @@ def _(v):
 
 
 @query("review_ordering", """SELECT doc_id, bucket, n_chars, rank_no FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS bucket, n_chars,
-    CAST(row_number() OVER (PARTITION BY CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank_no FROM scored) WHERE rank_no <= 50""")
+    CAST(row_number() OVER (PARTITION BY CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank_no FROM scored)""")
 def _(v):
     bucket = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     rows = v.scored.select("doc_id", bucket.alias("bucket"), "n_chars")
-    return top_k(rows, ["bucket"], [F.col("n_chars").desc(), F.col("doc_id")], 50)
+    return full_rank(rows, "bucket", "n_chars", "doc_id")
 
 
 @query("true_runs", """WITH f AS (SELECT user_id, ts, event_id, value > 50 AS flag, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) -

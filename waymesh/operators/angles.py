@@ -1,12 +1,12 @@
 """Straightest continuation at a junction, and bundles of road ends by direction."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import geometry as G
+from ..lineage import cut
+from .graph import greedy_select
 
 # Bundle width, pairing limit and clockwise gap of junction arms, in degrees.
 BUNDLE_DEG, PAIR_DEG, CLOCKWISE_DEG = 15.0, 18.0, 80.0
@@ -48,83 +48,66 @@ def straightest(incoming: DataFrame, outgoing: DataFrame, keys: list[str]) -> Da
         *keys, "in_id", "best.out_id", "best.turn_deg")
 
 
-def _fold_bundles(rows) -> list[dict]:
-    """Bundle the directions of one junction and pair outbound with inbound bundles.
+def _bundles(ends: DataFrame) -> DataFrame:
+    """Directions of one role that follow each other without a gap of more than BUNDLE_DEG around the circle.
 
-    ``rows`` is at most one row per role and tenth of a degree.
+    A run wider than twice that, as at a hub, is split evenly, so no bundle reaches further than BUNDLE_DEG from its middle.
     """
-    import math
-
-    def mean(bundle):
-        return math.degrees(math.atan2(bundle["s"], bundle["c"])) % 360.0
-
-    def gap(a, b):
-        return abs((a - b + 180.0) % 360.0 - 180.0)
-
-    bundles = []
-    for row in sorted(rows, key=lambda r: (r["role"], r["tenth"])):
-        angle, n = row["tenth"] / 10.0, row["n"]
-        near = [(gap(angle, mean(b)), i) for i, b in enumerate(bundles) if b["role"] == row["role"]]
-        near = [n for n in near if n[0] <= BUNDLE_DEG]
-        add_s, add_c = n * math.sin(math.radians(angle)), n * math.cos(math.radians(angle))
-        if near:
-            bundle = bundles[min(near)[1]]
-            bundle["s"] += add_s
-            bundle["c"] += add_c
-            bundle["n"] += n
-            bundle["first"] = min(bundle["first"], row["first_id"])
-        else:
-            bundles.append({"role": row["role"], "s": add_s, "c": add_c, "n": n, "first": row["first_id"]})
-    for bundle in bundles:
-        bundle["mean"] = mean(bundle)
-    outs = sorted((b for b in bundles if b["role"] == "outbound"), key=lambda b: (b["mean"], b["first"]))
-    ins = sorted((b for b in bundles if b["role"] == "inbound"), key=lambda b: (b["mean"], b["first"]))
-    arms, used = [[b] for b in bundles if b["role"] == "bidirectional"], set()
-
-    def take(out, choices):
-        picked = min(choices, key=lambda c: (c[0], c[1]["first"]))[1]
-        used.update((id(out), id(picked)))
-        arms.append([out, picked])
-
-    for out in outs:
-        choices = [(gap(out["mean"], b["mean"]), b) for b in ins if id(b) not in used]
-        choices = [c for c in choices if c[0] <= PAIR_DEG]
-        if choices:
-            take(out, choices)
-    for out in outs:
-        if id(out) in used:
-            continue
-        others = [(b["mean"] - out["mean"]) % 360.0 for b in outs if b is not out]
-        limit = min([d for d in others if d > 0], default=360.0)
-        choices = [((b["mean"] - out["mean"]) % 360.0, b) for b in ins if id(b) not in used]
-        choices = [c for c in choices if 0 < c[0] <= CLOCKWISE_DEG and c[0] < limit]
-        if choices:
-            take(out, choices)
-        else:
-            used.add(id(out))
-            arms.append([out])
-    arms += [[b] for b in ins if id(b) not in used] + [[b] for b in bundles if b["role"] == "none"]
-    result = []
-    for arm in arms:
-        roles = {b["role"] for b in arm}
-        result.append({"arm_role": "bidirectional" if len(roles) > 1 else roles.pop(), "mean_deg": round(arm[0]["mean"], 3),
-                       "roads": sum(b["n"] for b in arm), "first_road_id": min(b["first"] for b in arm)})
-    return sorted(result, key=lambda a: (a["mean_deg"], a["first_road_id"]))
-
-
-def _fold_column(column: pd.Series) -> pd.Series:
-    return column.map(lambda rows: _fold_bundles(list(rows)))
+    spots = ends.where(F.col("angle").isNotNull()).groupBy("junction_id", "role", "angle").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    around = Window.partitionBy("junction_id", "role").orderBy("angle")
+    whole = Window.partitionBy("junction_id", "role")
+    step = F.col("angle") - F.lag("angle").over(around)
+    cut_here = spots.withColumns({"_cut": F.coalesce(step > BUNDLE_DEG, F.lit(False)).cast("int"),
+                                  "_seam": F.min("angle").over(whole) + 360.0 - F.max("angle").over(whole)})
+    islands = cut_here.withColumn("_island", F.sum("_cut").over(around))
+    seam = (F.col("_seam") <= BUNDLE_DEG) & (F.col("_island") > 0) & (F.col("_island") == F.max("_island").over(whole))
+    unrolled = islands.withColumn("_at", F.when(seam, F.col("angle") - 360.0).otherwise(F.col("angle"))).withColumn("_island", F.when(seam, 0).otherwise(F.col("_island")))
+    one = Window.partitionBy("junction_id", "role", "_island")
+    spread = unrolled.withColumns({"_low": F.min("_at").over(one), "_span": F.max("_at").over(one) - F.min("_at").over(one)})
+    parts = F.greatest(F.ceil(F.col("_span") / (2 * BUNDLE_DEG)), F.lit(1))
+    closed = spread.withColumn("_part", F.when(F.col("_span") > 0, F.least(F.floor((F.col("_at") - F.col("_low")) / F.col("_span") * parts), parts - 1)).otherwise(0))
+    rad = F.radians("angle")
+    return closed.groupBy("junction_id", "role", "_island", "_part").agg(
+        F.sum(F.col("n") * F.sin(rad)).alias("_s"), F.sum(F.col("n") * F.cos(rad)).alias("_c"), F.sum("n").alias("n"), F.min("first_id").alias("first_id")).select(
+        "junction_id", "role", F.pmod(F.degrees(F.atan2("_s", "_c")), F.lit(360.0)).alias("mean_deg"), "n", "first_id")
+
+
+def _matched(pairs: DataFrame) -> DataFrame:
+    """Pairs of an outbound and an inbound bundle, narrowest first, no bundle twice."""
+    owner = F.struct("junction_id", "out_id", "in_id")
+    members = pairs.select(owner.alias("owner"), F.explode(F.array(
+        F.struct("junction_id", F.lit("o").alias("side"), F.col("out_id").alias("id")),
+        F.struct("junction_id", F.lit("i").alias("side"), F.col("in_id").alias("id")))).alias("member"))
+    ranked = pairs.select(owner.alias("owner"), F.struct("width", "junction_id", "out_id", "in_id").alias("rank"))
+    return greedy_select(members, ranked).select("owner.*")
 
 
 def bundle_arms(ends: DataFrame) -> DataFrame:
-    """Arms of junctions: ends of one role bundled by direction, then outbound paired with inbound.
+    """Arms of junctions: ends of one role bundled by direction, then outbound paired with inbound bundles.
 
-    ``ends`` comes from ``incident_ends``. Directions are first counted by role and tenth of a degree,
-    which bounds what one junction can send to a task however many roads it has.
+    ``ends`` comes from ``incident_ends``. A junction has at most 24 bundles of a role, however many roads it has. First bundles within PAIR_DEG are paired, then an outbound one with an inbound one
+    up to CLOCKWISE_DEG further round, unless another outbound one lies between.
     """
-    counted = ends.where(F.col("angle").isNotNull()).groupBy(
-        "junction_id", "role", F.round(F.col("angle") * 10).cast("int").alias("tenth")).agg(
-        F.count("*").alias("n"), F.min("id").alias("first_id"))
-    fold = pandas_udf(_fold_column, "array<struct<arm_role:string,mean_deg:double,roads:bigint,first_road_id:bigint>>")
-    gathered = counted.groupBy("junction_id").agg(F.collect_list(F.struct("role", "tenth", "n", "first_id")).alias("rows"))
-    return gathered.select("junction_id", F.posexplode(fold("rows")).alias("arm_no", "a")).select("junction_id", (F.col("arm_no") + 1).alias("arm_no"), "a.*")
+    bundles = cut(_bundles(ends))
+    outs = bundles.where(F.col("role") == "outbound").select("junction_id", F.col("first_id").alias("out_id"), F.col("mean_deg").alias("out_deg"), F.col("n").alias("out_n"))
+    ins = bundles.where(F.col("role") == "inbound").select("junction_id", F.col("first_id").alias("in_id"), F.col("mean_deg").alias("in_deg"), F.col("n").alias("in_n"))
+    near = outs.join(ins, "junction_id").withColumn("width", G.angular_distance(F.col("out_deg"), F.col("in_deg"))).where(F.col("width") <= PAIR_DEG)
+    first = cut(_matched(near))
+    free_outs, free_ins = outs.join(first, ["junction_id", "out_id"], "left_anti"), ins.join(first, ["junction_id", "in_id"], "left_anti")
+    other = outs.select("junction_id", F.col("out_id").alias("_o"), F.col("out_deg").alias("_d"))
+    next_out = free_outs.join(other, "junction_id").where("out_id != _o").groupBy("junction_id", "out_id").agg(
+        F.min(F.pmod(F.col("_d") - F.col("out_deg"), F.lit(360.0))).alias("until"))
+    onward = free_outs.join(next_out, ["junction_id", "out_id"], "left").join(free_ins, "junction_id").withColumn(
+        "width", F.pmod(F.col("in_deg") - F.col("out_deg"), F.lit(360.0)))
+    second = _matched(onward.where((F.col("width") > 0) & (F.col("width") <= CLOCKWISE_DEG) & (F.col("width") < F.coalesce("until", F.lit(360.0)))))
+    pairs = cut(first.unionByName(second))
+    both = pairs.join(outs, ["junction_id", "out_id"]).join(ins, ["junction_id", "in_id"]).select(
+        "junction_id", F.lit("bidirectional").alias("arm_role"), F.col("out_deg").alias("mean_deg"), (F.col("out_n") + F.col("in_n")).alias("roads"),
+        F.least("out_id", "in_id").alias("first_road_id"))
+    taken = pairs.select("junction_id", F.lit("outbound").alias("role"), F.col("out_id").alias("first_id")).unionByName(
+        pairs.select("junction_id", F.lit("inbound").alias("role"), F.col("in_id").alias("first_id")))
+    alone = bundles.join(taken, ["junction_id", "role", "first_id"], "left_anti").select(
+        "junction_id", F.col("role").alias("arm_role"), "mean_deg", F.col("n").alias("roads"), F.col("first_id").alias("first_road_id"))
+    arms = both.unionByName(alone).withColumn("mean_deg", F.round("mean_deg", 3))
+    number = F.row_number().over(Window.partitionBy("junction_id").orderBy("mean_deg", "first_road_id", "arm_role"))
+    return arms.select("junction_id", number.alias("arm_no"), "arm_role", "mean_deg", "roads", "first_road_id")

@@ -1,55 +1,68 @@
 """Exclusive assignment of left to right members inside each group."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .graph import greedy_select
 
-EXACT_LIMIT = 12
 
+def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the largest total gain, by shortest augmenting paths; -inf marks pairs that may not be used.
 
-def _best_subset(pairs) -> list[int]:
-    """Indices of the pairs with most matches, then the highest total, no member used twice."""
-    best: tuple[int, float, list[int]] = (0, 0.0, [])
+    Rows enter one by one. Each time the search for the cheapest way to a free column relaxes all columns at once.
+    """
+    rows, columns = gain.shape
+    cost = np.where(np.isfinite(gain), -gain, 0.0)
+    cost = np.concatenate((cost, np.zeros((rows, rows))), axis=1)  # every row may stay alone at no gain
+    row_of = np.full(columns + rows, -1)
+    row_price, column_price = np.zeros(rows), np.zeros(columns + rows)
+    for start in range(rows):
+        reach, came, done = np.full(columns + rows, np.inf), np.full(columns + rows, -1), np.zeros(columns + rows, bool)
+        row, column, base = start, -1, 0.0
+        while row >= 0:
+            through = base + cost[row] - row_price[row] - column_price
+            better = (through < reach) & ~done
+            reach[better], came[better] = through[better], column
+            column = int(np.where(done, np.inf, reach).argmin())
+            base, done[column], row = reach[column], True, row_of[column]
+        closed = np.flatnonzero(done & (row_of >= 0))
+        row_price[row_of[closed]] += base - reach[closed]
+        row_price[start] += base
+        column_price[done] += reach[done] - base
+        while column >= 0:
+            before = came[column]
+            row_of[column] = start if before < 0 else row_of[before]
+            column = before
+    return [(int(row_of[c]), c) for c in range(columns) if row_of[c] >= 0 and np.isfinite(gain[row_of[c], c])]
 
-    def walk(start: int, lefts: frozenset, rights: frozenset, total: float, taken: list[int]) -> None:
-        nonlocal best
-        if (len(taken), round(total, 6)) > (best[0], round(best[1], 6)):
-            best = (len(taken), total, list(taken))
-        for i in range(start, len(pairs)):
-            p = pairs[i]
-            if p["l"] not in lefts and p["r"] not in rights:
-                walk(i + 1, lefts | {p["l"]}, rights | {p["r"]}, total + p["s"], [*taken, i])
 
-    walk(0, frozenset(), frozenset(), 0.0, [])
-    return best[2]
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    lefts, rights = np.unique(pdf.left), np.unique(pdf.right)
+    gain = np.full((len(lefts), len(rights)), -np.inf)
+    most = float(np.abs(pdf.score).sum()) + 1.0  # a further match outweighs any scores
+    gain[np.searchsorted(lefts, pdf.left), np.searchsorted(rights, pdf.right)] = pdf.score + most
+    pairs = best_matching(gain)
+    return pd.DataFrame([(pdf.unit.iat[0], lefts[i], rights[j], gain[i, j] - most) for i, j in pairs], columns=["unit", "left", "right", "score"]).round({"score": 9})
 
 
-def _exact(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda pairs: _best_subset(list(pairs)))
+def exclusive_assignment(pairs: DataFrame) -> DataFrame:
+    """Best one-to-one pairs per ``unit``: most matches, then the highest total, by one exact method at every size.
 
+    ``pairs`` holds ``unit, left, right, score`` once each. Meant for units whose members are bounded, as the arms of a
+    junction are by their sectors; for others use ``greedy_assignment``.
+    """
+    schema = pairs.select("unit", "left", "right", F.col("score").cast("double").alias("score")).schema
+    return pairs.select("unit", "left", "right", F.col("score").cast("double").alias("score")).groupBy("unit").applyInPandas(_solve, schema)
 
-def exclusive_assignment(pairs: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
-    """Best one-to-one pairs per ``unit``: exact in units of at most ``limit`` pairs, greedy in larger ones.
 
-    ``pairs`` holds ``unit, left, right, score`` once each. Only small units are gathered; large ones are
-    settled by rounds of joins, highest score first.
-    """
-    sizes = pairs.groupBy("unit").agg(F.count("*").alias("_n"))
-    sized = pairs.join(sizes, "unit")
-    order = F.struct((-F.col("score")).alias("o"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("score").alias("s"))
-    small = sized.where(F.col("_n") <= limit).groupBy("unit").agg(F.array_sort(F.collect_list(order)).alias("p"))
-    solve = pandas_udf(_exact, "array<int>")
-    exact = small.select("unit", F.explode(F.transform(solve(F.transform("p", lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"), x["s"].alias("s")))),
-                                                       lambda i: F.element_at("p", i + 1))).alias("x")).select(
-        "unit", F.col("x.l").alias("left"), F.col("x.r").alias("right"), F.col("x.s").alias("score"), F.lit("exact").alias("method"))
-    large = sized.where(F.col("_n") > limit).select(F.struct("unit", "left", "right").alias("owner"), "unit", "left", "right", "score")
-    members = large.select("owner", F.explode(F.array(
+def greedy_assignment(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs per ``unit``, highest score first, by rounds of joins at every size."""
+    rows = pairs.select(F.struct("unit", "left", "right").alias("owner"), "unit", "left", "right", "score")
+    members = rows.select("owner", F.explode(F.array(
         F.struct("unit", F.lit("l").alias("side"), F.col("left").alias("id")),
         F.struct("unit", F.lit("r").alias("side"), F.col("right").alias("id")))).alias("member"))
-    ranked = large.select("owner", F.struct((-F.col("score")).alias("o"), "unit", "left", "right").alias("rank"))
-    kept = greedy_select(members, ranked).select("owner.unit", "owner.left", "owner.right", (-F.col("rank.o")).alias("score"), F.lit("greedy").alias("method"))
-    return exact.unionByName(kept)
+    ranked = rows.select("owner", F.struct((-F.col("score")).alias("o"), "unit", "left", "right").alias("rank"))
+    return greedy_select(members, ranked).select("owner.unit", "owner.left", "owner.right", (-F.col("rank.o")).alias("score"))

@@ -101,7 +101,14 @@ def flatten_aliases(aliases: DataFrame) -> DataFrame:
     """Root of every alias chain: ``alias_id`` → ``root_id``."""
     real = aliases.where(F.col("alias_id") != F.col("target_id"))
     ends = follow_chain(real.select(F.col("alias_id").alias("place"), F.col("target_id").alias("next_place"), F.lit(0.0).alias("step_m")))
-    return ends.select(F.col("place").alias("alias_id"), F.col("end_place").alias("root_id"), "hops", "closed")
+    flat = cut(ends.select(F.col("place").alias("alias_id"), F.col("end_place").alias("root_id"), "hops", "closed"))
+    ring = flat.where("closed").select("alias_id")
+    if ring.isEmpty():
+        return flat
+    # aliases that lead into a ring have no end: all of them take the smallest id they are connected with
+    rings = connected_components(real.join(ring, "alias_id", "left_semi").select(F.col("alias_id").alias("src"), F.col("target_id").alias("dst")))
+    named = rings.select(F.col("node").alias("alias_id"), "component")
+    return flat.join(named, "alias_id", "left").select("alias_id", F.coalesce("component", "root_id").alias("root_id"), "hops", "closed")
 
 
 def shortest_distances(edges: DataFrame, sources: DataFrame, radius: float | None = None) -> DataFrame:
@@ -308,7 +315,7 @@ def minimum_spanning_links(edges: DataFrame) -> DataFrame:
         b = labels.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
         crossing = cut(rest.join(a, "src").join(b, "dst").where("_a != _b"))
         if crossing.isEmpty():
-            return chosen
+            return crossing.select("road_id") if chosen is None else chosen
         best = crossing.select(F.explode(F.array("_a", "_b")).alias("c"), F.struct("length_m", "road_id").alias("k")).groupBy("c").agg(
             F.min("k").alias("k")).select("k.road_id").distinct()
         chosen = cut(best if chosen is None else chosen.unionAll(best).distinct())

@@ -20,6 +20,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(rank)).where(F.col(name) <= k)
 
 
+def full_rank(df: DataFrame, key: str, value: str, tie: str, name: str = "rank_no") -> DataFrame:
+    """Rank of every row of a key by descending ``value`` and then ``tie``: rows are ranked within equal values, and the
+    number of larger ones comes from counts per value, so no task sorts a whole key."""
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = df.withColumn("_own", F.row_number().over(Window.partitionBy(key, value).orderBy(tie)))
+    return own.join(above, [key, value]).withColumn(name, (F.col("_own") + F.col("_above")).cast("int")).select(*df.columns, name)
+
+
 def margin_to_second(df: DataFrame, keys: list[str], score: str, id_col: str) -> DataFrame:
     """Best (lowest) score per key and its distance to the runner-up."""
     two = top_k(df.select(*keys, score, id_col), keys, [F.col(score), F.col(id_col)], 2, "_rn")

@@ -1,10 +1,8 @@
 """Lanes to roads: owners, map matching, support intervals and built roads."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import geometry as G
 from ..operators.joins import station_range_join
@@ -32,72 +30,41 @@ def lane_assign_decision(lanes: DataFrame) -> DataFrame:
     return lanes.withColumns({"owner_state": owner, "width_state": width}).withColumn("decision", state).select("lane_id", "owner_state", "width_state", "decision")
 
 
-def _cheapest_path(samples, adjacent: float, unrelated: float, null_cost: float) -> list:
-    """Cheapest road per sample of one lane; ``samples`` is a list of candidate lists."""
-    states = [list(c) or [None] for c in samples]
-    costs, backs = [], []
-    for i, here in enumerate(states):
-        row, back = [], []
-        for c in here:
-            emission = null_cost if c is None else c["score"]
-            if i == 0:
-                row.append(emission)
-                back.append(-1)
-                continue
-            options = []
-            for j, p in enumerate(states[i - 1]):
-                if p is None and c is None:
-                    step = 0.0
-                elif p is None or c is None:
-                    step = adjacent
-                elif p["road_id"] == c["road_id"]:
-                    step = 0.0
-                else:
-                    step = adjacent if set(p["ends"]) & set(c["ends"]) else unrelated
-                options.append((costs[-1][j] + step + emission, j))
-            best = min(options)
-            row.append(best[0])
-            back.append(best[1])
-        costs.append(row)
-        backs.append(back)
-    if not states:
-        return []
-    k = min(range(len(costs[-1])), key=lambda n: (costs[-1][n], n))
-    chosen = [None] * len(states)
-    for i in range(len(states) - 1, -1, -1):
-        chosen[i] = None if states[i][k] is None else int(states[i][k]["road_id"])
-        k = backs[i][k]
-    return chosen
-
-
-def map_match(samples: DataFrame, roads: DataFrame, limit: float, max_turn: float = 50.0, k: int = 8, adjacent: float = 3.0, unrelated: float = 20.0) -> DataFrame:
+def map_match(samples: DataFrame, roads: DataFrame, limit: float, max_turn: float = 50.0, adjacent: float = 3.0, unrelated: float = 20.0) -> DataFrame:
     """Road of every lane sample: distance + 0.10 · direction difference, with costs for changing roads.
 
-    Candidates come from a place join; only the search along one lane, whose samples are few, runs in
-    Python, on Arrow batches of lanes. ``roads`` holds ``line_id, pts, direction, ends``.
+    Candidates come from a place join, all within the limits. The cheapest way is folded along the samples of a lane,
+    which are few, by column functions. ``roads`` holds ``line_id, pts, direction, ends``.
     """
     pairs = sample_piece_pairs(samples, roads, limit).join(roads.select("line_id", "direction", "ends"), "line_id")
     delta = direction_delta(F.col("lane_deg"), F.col("line_deg"), F.col("direction"))
     near = pairs.withColumn("delta", delta).where(F.col("delta") <= max_turn).withColumn("score", F.col("dist") + 0.10 * F.col("delta"))
-    best = top_k(near, ["lane_id", "i"], [F.col("score"), F.col("line_id")], k)
-    flat = F.struct("i", "score", F.col("line_id").alias("road_id"), F.col("ends")[0].alias("e0"), F.col("ends")[1].alias("e1"))
-    every = samples.select("lane_id", "i").join(best.select("lane_id", "i", "score", "line_id", "ends"), ["lane_id", "i"], "left")
-    lanes = every.groupBy("lane_id").agg(F.array_sort(F.collect_list(flat)).alias("s"))
+    # null stands for no road; a sample without candidates has nothing else
+    nowhere = F.struct(F.lit(None).cast("long").alias("road_id"), F.lit(20.0).alias("score"), F.lit(None).cast("array<bigint>").alias("ends"))
+    found = near.groupBy("lane_id", "i").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("line_id").cast("long").alias("road_id"), F.col("score").cast("double").alias("score"), F.col("ends").cast("array<bigint>").alias("ends")))).alias("here"))
+    every = samples.select("lane_id", "i").distinct().join(found, ["lane_id", "i"], "left").withColumn("here", F.coalesce("here", F.array(nowhere)))
+    lanes = every.groupBy("lane_id").agg(F.array_sort(F.collect_list(F.struct("i", "here"))).alias("s"))
+
+    def change(p, c):
+        return (F.when(p["road_id"].isNull() & c["road_id"].isNull(), 0.0).when(p["road_id"].isNull() | c["road_id"].isNull(), adjacent)
+                .when(p["road_id"] == c["road_id"], 0.0).when(F.arrays_overlap(p["ends"], c["ends"]), adjacent).otherwise(unrelated))
+
+    def way(cost, c, before):
+        return F.struct(cost.alias("cost"), c["road_id"].alias("road_id"), c["ends"].alias("ends"), F.concat(before, F.array(c["road_id"])).alias("way"))
+
+    def extend(ways, sample):
+        """Cheapest way to each candidate of the next sample; every way carries its roads."""
+        def reach(c):
+            best = F.array_min(F.transform(ways, lambda p, j: F.struct((p["cost"] + change(p, c) + c["score"]).alias("cost"), j.alias("j"))))
+            return way(best["cost"], c, F.element_at(ways, best["j"] + 1)["way"])
+        return F.transform(sample["here"], reach)
+
+    first = F.transform(F.col("s")[0]["here"], lambda c: way(c["score"], c, F.array().cast("array<bigint>")))
+    ways = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), first, extend)
+    cheapest = F.array_min(F.transform(ways, lambda p, j: F.struct(p["cost"].alias("cost"), j.alias("j"))))
+    return lanes.select("lane_id", ways.alias("ways"), cheapest.alias("b")).select("lane_id", F.posexplode(F.element_at("ways", F.col("b.j") + 1)["way"]).alias("i", "road_id"))
 
-    def solve(column: pd.Series) -> pd.Series:
-        return column.map(lambda rows: _cheapest_path(_by_sample(rows), adjacent, unrelated, 20.0))
-
-    return lanes.select("lane_id", F.posexplode(pandas_udf(solve, "array<bigint>")("s")).alias("i", "road_id"))
-
-
-def _by_sample(rows) -> list:
-    """Candidate lists in sample order; a sample without candidates has an empty list."""
-    samples: dict[int, list] = {}
-    for row in rows:
-        found = samples.setdefault(int(row["i"]), [])
-        if row["road_id"] is not None and row["road_id"] == row["road_id"]:
-            found.append({"score": row["score"], "road_id": int(row["road_id"]), "ends": (row["e0"], row["e1"])})
-    return [samples[i] for i in sorted(samples)]
 
 
 def support_intervals(samples: DataFrame, spacing: float) -> DataFrame:

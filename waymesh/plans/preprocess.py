@@ -83,7 +83,7 @@ def divmerge_chain_edges(roads: DataFrame, kinds: DataFrame, limit_m: float, div
     unique = at_end.groupBy("road_id").agg(F.count("*").alias("n"), F.first("next_road").alias("next_road"), F.first("step_m").alias("step_m")).where("n = 1")
     ends = follow_chain(unique.select(F.col("road_id").alias("place"), F.col("next_road").alias("next_place"), "step_m"))
     walked = edges.select("road_id", "src", "length_m").join(
-        ends.where("NOT closed AND hops <= 256").select(F.col("place").alias("road_id"), F.col("end_place").alias("last_road"), "dist_m"), "road_id", "left")
+        ends.where("NOT closed").select(F.col("place").alias("road_id"), F.col("end_place").alias("last_road"), "dist_m"), "road_id", "left")
     walked = walked.select("src", F.coalesce("last_road", "road_id").alias("last_road"), (F.col("length_m") + F.coalesce("dist_m", F.lit(0.0))).alias("dist_m"))
     reached = walked.join(edges.select(F.col("road_id").alias("last_road"), "dst"), "last_road")
     stop = degrees.where("degree >= 3").select(F.col("node").alias("dst"))
