@@ -69,12 +69,18 @@ def _(v):
     return P.merge_one_to_many(hits, node_kinds(v), canon_roads(v))
 
 
+VIEW_SQL["road_surface_hits"] = """SELECT DISTINCT id FROM (SELECT id, xs[i] AS xa, ys[i] AS ya, xs[i + 1] AS xb, ys[i + 1] AS yb FROM net_roads, (SELECT unnest([1, 2, 3]) AS i)) p
+    JOIN surfaces ON greatest(xa, xb) >= x0 AND least(xa, xb) <= x1 AND greatest(ya, yb) >= y0 AND least(ya, yb) <= y1
+    WHERE least((xb - xa) * (y0 - ya) - (yb - ya) * (x0 - xa), (xb - xa) * (y1 - ya) - (yb - ya) * (x0 - xa), (xb - xa) * (y0 - ya) - (yb - ya) * (x1 - xa), (xb - xa) * (y1 - ya) - (yb - ya) * (x1 - xa)) <= 0
+    AND greatest((xb - xa) * (y0 - ya) - (yb - ya) * (x0 - xa), (xb - xa) * (y1 - ya) - (yb - ya) * (x0 - xa), (xb - xa) * (y0 - ya) - (yb - ya) * (x1 - xa), (xb - xa) * (y1 - ya) - (yb - ya) * (x1 - xa)) >= 0"""
+
+
 @query("carrier_cleaning", f"""WITH g AS (SELECT canonical_id FROM canon GROUP BY canonical_id HAVING bool_and(node_id IN {_COVER})), k AS (SELECT node_id FROM canon WHERE canonical_id IN (SELECT * FROM g))
-    SELECT id FROM net_roads WHERE snodeid IN (SELECT * FROM k) AND enodeid IN (SELECT * FROM k) AND id IN (SELECT p.id FROM road_points p JOIN surfaces s ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)""")
+    SELECT id FROM net_roads WHERE snodeid IN (SELECT * FROM k) AND enodeid IN (SELECT * FROM k) AND id IN (SELECT id FROM road_surface_hits)""")
 def _(v):
     covered = surface_hits(v).select(F.col("p_id").alias("node_id"))
-    vertices = v.road_points.select(F.col("id").alias("p_id"), "x", "y")
-    touching = SP.points_in_rings(vertices, v.surfaces.select(F.col("surface_id").alias("ring_id"), "ring"), 40.0).select(F.col("p_id").alias("id"))
+    lines = v.net_roads.select(F.col("id").alias("line_id"), "pts")
+    touching = SP.lines_meeting_rings(lines, v.surfaces.select(F.col("surface_id").alias("ring_id"), "ring"), 40.0).select(F.col("line_id").alias("id"))
     return P.clean_carrier(J.canonical_nodes(v.net_nodes), covered, v.net_roads, touching).select("id")
 
 

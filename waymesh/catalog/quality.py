@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as GR
 from ..plans import quality as QA
-from .anchors import junction_hits
+from .anchors import anchor_result, junction_hits
 from .graphs import chain_edges, end_pairs
 from .registry import query
 from .replacement import _WAYS
@@ -27,10 +27,18 @@ def _(v):
     return QA.unexpected_reverse(GR.directed_edges(edges), GR.both_ways(edges), end_pairs(v))
 
 
-@query("decision_publish", "SELECT s.doc_id AS candidate_id, coalesce(o.st, CASE WHEN score >= 0.8 THEN 'confirmed' WHEN score < 0.3 THEN 'excluded' ELSE 'manual' END) AS decision, CASE WHEN o.st IS NOT NULL THEN 'external_review_override' ELSE 'automatic' END AS source FROM scored s LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'confirmed' ELSE 'excluded' END AS st FROM labels WHERE quality = 0) o USING (doc_id)")
+@query("decision_publish", """WITH c AS (SELECT o_orderkey AS id, o_orderkey % 200 = 0 OR (o_custkey % 97 > 0 AND CAST(o_orderkey % 200 AS DOUBLE) / (o_custkey % 97) <= 1.5 AND o_orderkey % 200 - o_custkey % 97 <= 100 AND o_orderkey % 80 <= 50) AS same,
+    coalesce(is_anchor, '') <> 'yes' AS weak FROM orders LEFT JOIN anchor_result ON junction_id = o_custkey + 1), o AS (SELECT doc_id AS id, min(CASE WHEN quality = 1 THEN 'manual' WHEN toxic = 1 THEN 'confirmed' ELSE 'excluded' END) AS st FROM labels GROUP BY 1)
+    SELECT c.id AS candidate_id, coalesce(st, CASE WHEN same OR weak THEN 'excluded' ELSE 'confirmed' END) AS decision, CASE WHEN st IS NOT NULL THEN 'external_review_override' WHEN same THEN 'equivalent_raw_carrier'
+    WHEN weak THEN 'insufficient_anchor_confidence' ELSE 'raw_carrier_missing_trusted_anchor' END AS rule FROM c LEFT JOIN o USING (id)""")
 def _(v):
-    reviews = v.labels.where("quality = 0").select(F.col("doc_id").alias("candidate_id"), F.when(F.col("toxic") == 1, "confirmed").otherwise("excluded").alias("status"))
-    return QA.publish_decisions(v.scored.select(F.col("doc_id").alias("candidate_id"), "score"), reviews)
+    o = F.col("o_orderkey")
+    paths = v.orders.select(o.alias("path_id"), (o % 200).alias("length_m"), (F.col("o_custkey") % 97).alias("reference_m"), (o % 80).alias("max_distance_m"))
+    same = QA.carrier_equivalence(paths).select(F.col("path_id").alias("candidate_id"), F.col("accepted").alias("equivalent"))
+    trust = anchor_result(v).select("junction_id", F.when(F.col("is_anchor") == "yes", "standard_surface").alias("anchor_confidence"))
+    rows = v.orders.select(o.alias("candidate_id"), (F.col("o_custkey") + 1).alias("junction_id")).join(trust, "junction_id", "left").join(same, "candidate_id")
+    status = F.when(F.col("quality") == 1, "manual").when(F.col("toxic") == 1, "confirmed").otherwise("excluded")
+    return QA.publish_decisions(rows, v.labels.select(F.col("doc_id").alias("candidate_id"), status.alias("status")))
 
 
 _ISSUE_ROWS = ", ".join(f"('{k}', '{c}', '{o}')" for k, (c, o) in QA.ISSUES.items())

@@ -100,9 +100,8 @@ class Views:
         )
 
     def spread(self, df: DataFrame, key: str = "id") -> DataFrame:
-        """Rows over all cores when the input has fewer splits than that; large inputs stay as they are."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+        """Rows dealt over all cores by key, for steps that cost far more than a shuffle."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
 
     @cached_property
     def road_points(self) -> DataFrame:

@@ -208,6 +208,23 @@ def ring_contains(p: Column, ring: Column) -> Column:
     return F.size(crossings) % 2 == 1
 
 
+def segments_meet(p: Column, q: Column) -> Column:
+    """Whether two straight pieces share a point, touching ends and overlaps included."""
+    def side(s, x, y):
+        return (s["x1"] - s["x0"]) * (y - s["y0"]) - (s["y1"] - s["y0"]) * (x - s["x0"])
+
+    def apart(a, b):
+        return (F.greatest(p[a], p[b]) < F.least(q[a], q[b])) | (F.least(p[a], p[b]) > F.greatest(q[a], q[b]))
+
+    return (~apart("x0", "x1") & ~apart("y0", "y1") & (F.signum(side(q, p["x0"], p["y0"])) * F.signum(side(q, p["x1"], p["y1"])) <= 0)
+            & (F.signum(side(p, q["x0"], q["y0"])) * F.signum(side(p, q["x1"], q["y1"])) <= 0))
+
+
+def piece_meets_ring(p: Column, ring: Column) -> Column:
+    """Whether a straight piece lies in a ring or meets its border."""
+    return F.exists(pieces(ring), lambda q: segments_meet(p, q)) | ring_contains(point(p["x0"], p["y0"]), ring)
+
+
 def ring_covers(p: Column, ring: Column) -> Column:
     return ring_contains(p, ring) | on_ring_border(p, ring)
 

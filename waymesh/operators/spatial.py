@@ -101,6 +101,18 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, tolerance:
     return pairs.where(hit).select("p_id", "ring_id")
 
 
+def lines_meeting_rings(lines: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
+    """Pairs of lines and the rings that some piece of them meets, whether or not a vertex lies inside.
+
+    ``lines`` holds ``line_id, pts``; ``rings`` holds ``ring_id, ring``.
+    """
+    box = G.bounds(F.col("ring"))
+    covers = rings.select("ring_id", "ring", F.explode(G.cells_of_box(box["minx"], box["miny"], box["maxx"], box["maxy"], cell)).alias("c"))
+    probe = line_cells(lines.select("line_id", "pts"), cell).select("line_id", "p", "cx", "cy")
+    pairs = salted_cell_join(probe, covers.select("ring_id", "ring", "c.cx", "c.cy"), "ring_id")
+    return pairs.where(G.piece_meets_ring(F.col("p"), F.col("ring"))).select("line_id", "ring_id").distinct()
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
     """Nearest line per point; ties go to the smaller id."""
     near = points_near_lines(points, lines, limit)

@@ -76,11 +76,17 @@ def unexpected_reverse(source: DataFrame, carrier: DataFrame, ends: DataFrame) -
 
 
 def publish_decisions(candidates: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Every candidate in exactly one of confirmed, excluded and manual; reviews from outside win."""
+    """Every candidate of a missing direction in exactly one of confirmed, excluded and manual; reviews from outside win.
+
+    ``candidates`` holds ``candidate_id, equivalent, anchor_confidence``: an equivalent carrier or an anchor that cannot be
+    trusted excludes the candidate, every other one is confirmed. Only a review can ask for manual work.
+    """
     other = overrides.groupBy("candidate_id").agg(F.min("status").alias("_o"))
     joined = candidates.join(other, "candidate_id", "left")
-    auto = F.when(F.col("score") >= 0.8, "confirmed").when(F.col("score") < 0.3, "excluded").otherwise("manual")
-    return joined.select("candidate_id", F.coalesce("_o", auto).alias("decision"), F.when(F.col("_o").isNotNull(), "external_review_override").otherwise("automatic").alias("source"))
+    same, weak = F.coalesce("equivalent", F.lit(False)), F.coalesce("anchor_confidence", F.lit("insufficient")) == "insufficient"
+    rule = (F.when(F.col("_o").isNotNull(), "external_review_override").when(same, "equivalent_raw_carrier")
+            .when(weak, "insufficient_anchor_confidence").otherwise("raw_carrier_missing_trusted_anchor"))
+    return joined.select("candidate_id", F.coalesce("_o", F.when(same | weak, "excluded").otherwise("confirmed")).alias("decision"), rule.alias("rule"))
 
 
 def junction_conflict_groups(hits: DataFrame) -> DataFrame:
