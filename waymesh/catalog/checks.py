@@ -127,6 +127,13 @@ def _(v):
     return C.profile_slice(v.net_nodes, canon_roads(v).select("id", "src", "dst"), 300.0, 700.0, 100)
 
 
+@query("segment_slice")
+def _(v):
+    lines = v.net_roads.select(F.col("id").alias("line_id"), "pts")
+    chosen = v.supplier.where("s_nationkey = 3").select((F.col("s_suppkey") + 1).alias("line_id"))
+    return C.segment_slice(lines.join(chosen, "line_id", "left_semi"), lines, 200.0)
+
+
 @query("endpoint_override", """WITH o AS (SELECT l_orderkey + 1 AS road_id, CASE WHEN l_linenumber % 2 = 1 THEN 'start' ELSE 'end' END AS endpoint, min(l_partkey + 1) AS node_id FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
     k AS (SELECT o.*, n.id IS NOT NULL AS known FROM o LEFT JOIN net_nodes n ON n.id = node_id)
     SELECT r.id, CASE WHEN s.known THEN s.node_id ELSE snodeid END AS snodeid, CASE WHEN e.known THEN e.node_id ELSE enodeid END AS enodeid,

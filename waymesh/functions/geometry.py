@@ -220,6 +220,14 @@ def segments_meet(p: Column, q: Column) -> Column:
             & (F.signum(side(p, q["x0"], q["y0"])) * F.signum(side(p, q["x1"], q["y1"])) <= 0))
 
 
+def piece_gap(p: Column, q: Column) -> Column:
+    """Distance of two straight pieces; 0 where they meet."""
+    def to(x, y, s):
+        return point_line_distance(point(x, y), F.array(s))
+
+    return F.when(segments_meet(p, q), 0.0).otherwise(F.least(to(p["x0"], p["y0"], q), to(p["x1"], p["y1"], q), to(q["x0"], q["y0"], p), to(q["x1"], q["y1"], p)))
+
+
 def piece_meets_ring(p: Column, ring: Column) -> Column:
     """Whether a straight piece lies in a ring or meets its border."""
     return F.exists(pieces(ring), lambda q: segments_meet(p, q)) | ring_contains(point(p["x0"], p["y0"]), ring)
