@@ -34,6 +34,14 @@ def test_components_match_union_find(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def test_components_with_hubs_that_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(GR, "LEAST_HUB", 4)
+    rows = [(500, n, n, 1.0) for n in range(100, 180)] + [(n, n + 1, n, 1.0) for n in range(180, 240)] + [(500, 3, 1, 1.0), (7, 8, 2, 1.0)]
+    got = {r.node: r.component for r in GR.connected_components(edges(spark, rows)).collect()}
+    assert got == {500: 3, 3: 3, 7: 7, 8: 7} | {n: 3 for n in range(100, 180)} | {n: 180 for n in range(180, 241)}
+    assert GR.connected_components(edges(spark, rows).limit(0)).count() == 0
+
+
 def test_bridges_on_cycle_with_tail(spark):
     rows = [(1, 2, 10, 1.0), (2, 3, 11, 1.0), (3, 1, 12, 1.0), (3, 4, 13, 1.0), (4, 5, 14, 1.0)]
     assert {r.road_id for r in GR.bridge_edges(edges(spark, rows)).collect()} == {13, 14}

@@ -36,6 +36,22 @@ def _fingerprint(df: DataFrame, *columns: str):
     return row["n"], row["h"]
 
 
+MOST_HUBS, LEAST_HUB = 1000, 256
+
+
+def _with_lowest(pairs: DataFrame, hub_rows: int) -> DataFrame:
+    """``u, v, m``: every pair with the smallest ``v`` of its ``u``.
+
+    A ``u`` of more than ``hub_rows`` pairs gets its minimum by broadcast, so its pairs stay where they are. With
+    ``hub_rows`` a thousandth of all pairs or more, there are at most a thousand of them.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > hub_rows).select("u", F.col("m").alias("hub_m")))
+    marked = pairs.join(hubs, "u", "left")
+    rest = marked.where(F.col("hub_m").isNull()).select("u", "v").join(low.select("u", "m"), "u")
+    return rest.unionAll(marked.where(F.col("hub_m").isNotNull()).select("u", "v", F.col("hub_m").alias("m")))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node`` → ``component`` (its smallest node) by alternating large-star and small-star rounds.
 
@@ -44,13 +60,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     """
     pairs = cut(edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = None
+    seen = _fingerprint(pairs, "u", "v")
     while True:
+        hub_rows = max(LEAST_HUB, 2 * seen[0] // MOST_HUBS)
         both = pairs.select("u", "v").unionAll(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        large = _with_lowest(both, hub_rows).where(F.col("v") > F.col("u")).select(
+            F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+        small = _with_lowest(large, hub_rows).select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         pairs = cut(small)
