@@ -35,6 +35,8 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.
     dist = np.full((q, width), np.inf, np.float32)
     done = np.ones((q, width), bool)
     ids[:, 0], dist[:, 0], done[:, 0] = entry, -(queries @ vectors[entry]), False
+    seen = np.zeros((q, len(vectors) + 1), bool)
+    seen[:, [entry, -1]] = True  # the last column stands for missing neighbours
     live = np.arange(q)
     while len(live):
         open_dist = np.where(done[live], np.inf, dist[live])
@@ -45,7 +47,8 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.
             break
         done[live, best] = True
         near = graph[ids[live, best]]
-        known = (near[:, :, None] == ids[live][:, None, :]).any(axis=2) | (near < 0)
+        known = seen[live[:, None], near]
+        seen[live[:, None], near] = True
         new = -np.einsum("qd,qnd->qn", queries[live], vectors[np.maximum(near, 0)])
         new[known] = np.inf
         all_ids, all_dist = np.concatenate((ids[live], near), axis=1), np.concatenate((dist[live], new), axis=1)
@@ -75,14 +78,15 @@ def robust_prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray)
     alive = np.isfinite(to_node) & ~twice
     out = np.full((len(nodes), DEGREE), -1, np.int64)
     one = np.arange(len(nodes))
+    length = (points**2).sum(axis=2)
+    between = np.maximum(0.0, length[:, :, None] + length[:, None, :] - 2 * (points @ points.transpose(0, 2, 1)))
     for slot in range(DEGREE):
         first = alive.argmax(axis=1)
         has = alive[one, first]
         if not has.any():
             break
         out[has, slot] = candidates[one, first][has]
-        between = ((points - points[one, first][:, None, :]) ** 2).sum(axis=2)
-        alive &= ~((ALPHA**2 * between <= to_node) & has[:, None])
+        alive &= ~((ALPHA**2 * between[one, first] <= to_node) & has[:, None])
         alive[one, first] = False
     return out
 
