@@ -231,6 +231,21 @@ def test_page_text(spark):
     assert htmltext.main_text(html.unescape("&lt;p&gt;x"), None) == "x"
 
 
+def test_page_text_keeps_all_running_text(spark):
+    lead, rest, other = prose(60, 11), prose(180, 12), prose(150, 13)
+    links = "<div class='more'><a href='/x'>one</a> | <a href='/y'>two</a></div>"
+    usual = f"<html><body><nav>menu</nav>{links}<div class='page'><div class='lead'><p>{lead}</p></div><div class='rest'><p>{rest}</p></div></div></body></html>"
+    second = f"<html><body><div class='page'><p>{lead}</p></div><div class='story'><p>{other}</p><p><a href='/z'>{rest}</a> {lead}</p></div>{links}</body></html>"
+    outside = f"<html><body><div class='intro'><p>{lead}</p></div><a name='top'><article><p>{rest}</p></article></body></html>"
+    rows = [(i, f"http://h.org/{i}", usual) for i in range(5)] + [(5, "http://h.org/5", second), (6, "http://h.org/6", outside)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    winners = htmltext.host_paths(df)
+    assert [r.path for r in winners.collect()] == ["/body/div.page"]
+    got = {r.page_id: r.text for r in htmltext.extract(df, winners).collect()}
+    assert all(got[i] == f"{lead}\n{rest}" for i in range(5))
+    assert got[5] == f"{lead}\n{other}\n{rest} {lead}\none | two" and got[6] == f"{lead}\n{rest}"
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<\\|a<\\\\|<", "", None, "x<", "|<|<|"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)] + [(2, 0, None, "a"), (2, 0, None, "a")]

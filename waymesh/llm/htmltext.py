@@ -1,8 +1,9 @@
 """Main text of web pages by consensus: pages vote for the container path of their host, then all are read again by it.
 
 A page is cut into tags and texts once; every element has a path of tags with generalised classes. Each page scores the
-containers that hold its running text; the votes of a host's pages are added up in Spark, and the winning path is used on
-all of the host's pages. A page without that path uses its own best container.
+smallest container that holds all its running text; the votes of a host's pages are added up in Spark, and the winning path
+is used on those of the host's pages whose running text it holds. Any other page uses its own container, so that only
+boilerplate and blocks of mere links are left out.
 """
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 SPACE = re.compile(r"[\s ]+")
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-COVER, ARTICLE_COVER = 0.7, 0.25
+WORD, HREF = re.compile(r"\w"), re.compile(r"\bhref\s*=", re.I)
 
 
 def _events(page: str):
@@ -65,39 +66,47 @@ def _events(page: str):
 
 
 def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
-    """Text blocks as (ids of open containers, text, characters in links) without boilerplate, and the containers' paths."""
-    stack: list[tuple[str, int | None, bool]] = []  # name, container, boilerplate
+    """Text blocks as (ids of open containers, text, characters of running text) without boilerplate, and the containers' paths.
+
+    Running text is what lies outside links; mere separators between links are none.
+    """
+    stack: list[tuple[str, int | None, bool, bool]] = []  # name, container, boilerplate, link
     paths: list[str] = []
     out: list[tuple[tuple[int, ...], str, int]] = []
     texts: list[str] = []
-    hidden, linked, in_link = 0, 0, 0
+    outside: list[str] = []
+    hidden, in_link = 0, 0
+
+    def flat(parts: list[str]) -> str:
+        return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
     def flush() -> None:
-        nonlocal linked
         if texts:
-            text = SPACE.sub(" ", html.unescape("".join(texts))).strip()
+            text = flat(texts)
             if text:
-                out.append((tuple(c for _, c, _ in stack if c is not None), text, linked))
+                running = text if len(outside) == len(texts) else flat(outside)
+                out.append((tuple(c for _, c, _, _ in stack if c is not None), text, len(running) if running is text or WORD.search(running) else 0))
             texts.clear()
-        linked = 0
+            outside.clear()
 
     def pop() -> None:
         nonlocal hidden, in_link
-        name, _, boiler = stack.pop()
+        _, _, boiler, link = stack.pop()
         hidden -= boiler
-        in_link -= name == "a"
+        in_link -= link
 
     for kind, name, rest in _events(page):
         if kind == "text":
             if not hidden:
                 texts.append(rest)
-                if in_link:
-                    linked += len(rest)
+                if not in_link:
+                    outside.append(rest)
             continue
         if name in BLOCK:
             flush()
         elif name == "br" and kind == "start" and not hidden:
             texts.append(" ")
+            outside.append(" ")
         if kind == "start":
             closes = SIBLINGS.get(name, ())
             if name in BLOCK:
@@ -116,13 +125,14 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
                 name not in ("html", "body", "main", "h1") and len(label) > 1 and MARKED.search(label) is not None)
             container = None
             if name in CONTAINER and not hidden and not boiler:
-                above = next((paths[c] for _, c, _ in reversed(stack) if c is not None), "")
+                above = next((paths[c] for _, c, _, _ in reversed(stack) if c is not None), "")
                 first = re.sub(r"[\d_-]+", "", found.get("class", "").split(" ")[0].lower())
                 container = len(paths)
                 paths.append(f"{above}/{name}.{first}" if first else f"{above}/{name}")
-            stack.append((name, container, boiler))
+            link = name == "a" and HREF.search(rest) is not None
+            stack.append((name, container, boiler, link))
             hidden += boiler
-            in_link += name == "a"
+            in_link += link
         else:
             for spot in range(len(stack) - 1, -1, -1):
                 if stack[spot][0] == name:
@@ -135,43 +145,33 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
     return out, paths
 
 
-def _weights(found) -> list[int]:
-    return [max(0, len(text) - 2 * linked) for _, text, linked in found]
+def _held(found, paths: list[str]) -> tuple[dict[str, int], int]:
+    """Running text in the containers of every path, and of the page."""
+    held: dict[str, int] = {}
+    for inside, _, running in found:
+        for c in inside:
+            held[paths[c]] = held.get(paths[c], 0) + running
+    return held, sum(running for _, _, running in found)
+
+
+def _smallest(held: dict[str, int], total: int) -> str:
+    return max((p for p, n in held.items() if n == total), key=lambda p: (p.count("/"), p), default="") if total else ""
 
 
 def best_path(page: str) -> tuple[str, int]:
-    """The path of the deepest container that holds most of a page's running text, and that text's length."""
-    found, paths = blocks(page)
-    weights = _weights(found)
-    held = [0] * len(paths)
-    for (inside, _, _), weight in zip(found, weights):
-        for c in inside:
-            held[c] += weight
-    total = sum(weights)
-    if not total or not paths:
-        return "", 0
-    by_path: dict[str, int] = {}
-    for path, n in zip(paths, held):
-        by_path[path] = by_path.get(path, 0) + n
-    articles = {p: n for p, n in by_path.items() if re.search(r"/(article|main)(\.[^/]*)?$", p) and n >= ARTICLE_COVER * total}
-    good = articles or {p: n for p, n in by_path.items() if n >= COVER * total}
-    if not good:
-        return "", 0
-    most = max(good.values())
-    path = max((p for p, n in good.items() if n >= COVER * most), key=lambda p: (p.count("/"), p))
-    return path, by_path[path]
+    """The path of the smallest container that holds all of a page's running text, and that text's length."""
+    held, total = _held(*blocks(page))
+    path = _smallest(held, total)
+    return (path, total) if path else ("", 0)
 
 
 def main_text(page: str, path: str | None) -> str:
-    """Blocks of the containers at ``path``, or of the page's own best container, joined by line breaks."""
+    """Blocks of the containers at ``path`` if they hold all running text, or of the page's own container, joined by line breaks."""
     found, paths = blocks(page)
-    chosen = {c for c, p in enumerate(paths) if p == path} if path else set()
-    picked = [text for inside, text, _ in found if chosen.intersection(inside)] if chosen else []
-    if not picked:
-        own, _ = best_path(page)
-        chosen = {c for c, p in enumerate(paths) if p == own}
-        picked = [text for inside, text, _ in found if chosen.intersection(inside)] if chosen else [text for _, text, _ in found]
-    return "\n".join(picked)
+    held, total = _held(found, paths)
+    if not path or not total or held.get(path, 0) < total:
+        path = _smallest(held, total)
+    return "\n".join(text for inside, text, _ in found if not path or any(paths[c] == path for c in inside))
 
 
 def _vote(batches):
