@@ -246,6 +246,22 @@ def test_page_text_keeps_all_running_text(spark):
     assert got[5] == f"{lead}\n{other}\n{rest} {lead}\none | two" and got[6] == f"{lead}\n{rest}"
 
 
+def test_page_text_under_marked_wrappers():
+    text, side = prose(80, 14), "<div class='sidebar'>side</div><div id='comments'><article class='comment'>nice</article></div>"
+    for wrapper, inner in (("div id=page class='has-sidebar'", f"<article><p>{text}</p></article>"), ("article class='post no-comments'", f"<p>{text}</p>"),
+                           ("article class='post category-legal tag-social'", f"<p>{text}</p>"), ("div class='page-with-sidebar'", f"<p>{text}</p>"),
+                           ("div class='social'", f"<article><p>{text}</p></article>"), ("div id='related'", f"<main><p>{text}</p></main>"),
+                           ("div class='legal'", f"<p>{text}</p>"), ("article class='sponsored'", f"<div class='widget'><p>{text}</p></div>")):
+        page = f"<html><body>{side}<{wrapper}>{inner}</{wrapper.split()[0]}><div class='widget-tag-cloud'>tags</div></body></html>"
+        assert htmltext.main_text(page, htmltext.best_path(page)[0]) == text, wrapper
+    page = f"<html><body><div class='header'><h1>Title</h1>by me</div><div class='text'><p>{text}</p></div>{side}</body></html>"
+    assert htmltext.main_text(page, None) == f"Title\nby me\n{text}"
+    page = f"<html><body><div class='ad'>{text}</div><article><p>short</p></article></body></html>"
+    assert htmltext.main_text(page, None) == "short"
+    assert htmltext.main_text(f"<body><p>{text} <span class='share'>to <b>all</b></span>end</p>", None) == f"{text} end"
+    assert htmltext.main_text(f"<body><span class='notice'>{text}</span><p>end</p>", None) == f"{text}\nend"
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<\\|a<\\\\|<", "", None, "x<", "|<|<|"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)] + [(2, 0, None, "a"), (2, 0, None, "a")]

@@ -28,6 +28,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 MARKED = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|popups?|modals?|nav(?:bar|igation)?|"
                     r"menus?|breadcrumbs?|header|masthead|footer|foot|sidebars?|aside|widgets?|comments?|replies|responses|disqus|respond|share|sharing|social|related|recommend(?:ed|ations)?|"
                     r"newsletter|subscribe|signup|login|search|pagination|pager|skip|toolbar|copyright|legal)(?=$|[\s_-]|\d)")
+#: Class names that tell what an element has, lacks or is filed under, not what it is.
+ABOUT = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:has|no|with|without|category|tag)[_-]\S*")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"[\s ]+")
@@ -68,45 +70,50 @@ def _events(page: str):
 def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
     """Text blocks as (ids of open containers, text, characters of running text) without boilerplate, and the containers' paths.
 
-    Running text is what lies outside links; mere separators between links are none.
+    Running text is what lies outside links; mere separators between links are none. An element with a marked class or id
+    is boilerplate unless it holds an unmarked article, a main, an h1 or most of the page's running text; the latter does not
+    count beside an article or main that has text of its own, as of an ad that is longer than a short article.
     """
-    stack: list[tuple[str, int | None, bool, bool]] = []  # name, container, boilerplate, link
+    stack: list[tuple[str, int | None, bool, bool, int | None]] = []  # name, container, boilerplate, link, mark
     paths: list[str] = []
-    out: list[tuple[tuple[int, ...], str, int]] = []
-    texts: list[str] = []
-    outside: list[str] = []
+    cut: list[tuple[tuple[int, ...], list[tuple[str, bool, tuple[int, ...]]]]] = []  # containers and pieces of every block
+    content: list[bool] = []  # marked elements that hold an article, main or h1
+    inner: list[bool] = []  # marked elements inside an article or main
+    story = False
+    pieces: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in a link, marks around it
+    marks: tuple[int, ...] = ()
     hidden, in_link = 0, 0
 
     def flat(parts: list[str]) -> str:
         return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
+    def in_story() -> bool:
+        return any(m is None and name in ("article", "main") for name, _, _, _, m in stack)
+
     def flush() -> None:
-        if texts:
-            text = flat(texts)
-            if text:
-                running = text if len(outside) == len(texts) else flat(outside)
-                out.append((tuple(c for _, c, _, _ in stack if c is not None), text, len(running) if running is text or WORD.search(running) else 0))
-            texts.clear()
-            outside.clear()
+        nonlocal story, pieces
+        if pieces:
+            cut.append((tuple(c for _, c, _, _, _ in stack if c is not None), pieces))
+            story = story or any(not link and not text.isspace() for text, link, _ in pieces) and in_story()
+            pieces = []
 
     def pop() -> None:
-        nonlocal hidden, in_link
-        _, _, boiler, link = stack.pop()
+        nonlocal hidden, in_link, marks
+        _, _, boiler, link, mark = stack.pop()
         hidden -= boiler
         in_link -= link
+        if mark is not None:
+            marks = marks[:-1]
 
     for kind, name, rest in _events(page):
         if kind == "text":
             if not hidden:
-                texts.append(rest)
-                if not in_link:
-                    outside.append(rest)
+                pieces.append((rest, in_link > 0, marks))
             continue
         if name in BLOCK:
             flush()
         elif name == "br" and kind == "start" and not hidden:
-            texts.append(" ")
-            outside.append(" ")
+            pieces.append((" ", in_link > 0, marks))
         if kind == "start":
             closes = SIBLINGS.get(name, ())
             if name in BLOCK:
@@ -121,16 +128,24 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
                         break
             found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if rest else {}
             label = f"{found.get('class', '')} {found.get('id', '')}"
-            boiler = name in BOILERPLATE or name in RAW or found.get("role", "").lower() in ROLES or (
-                name not in ("html", "body", "main", "h1") and len(label) > 1 and MARKED.search(label) is not None)
+            boiler = name in BOILERPLATE or name in RAW or found.get("role", "").lower() in ROLES
+            marked = not boiler and name not in ("html", "body", "main", "h1") and len(label) > 1 and MARKED.search(ABOUT.sub("", label)) is not None
+            if not hidden and not boiler and not marked and name in ("article", "main", "h1"):
+                for m in marks:
+                    content[m] = True
             container = None
             if name in CONTAINER and not hidden and not boiler:
-                above = next((paths[c] for _, c, _, _ in reversed(stack) if c is not None), "")
+                above = next((paths[c] for _, c, _, _, _ in reversed(stack) if c is not None), "")
                 first = re.sub(r"[\d_-]+", "", found.get("class", "").split(" ")[0].lower())
                 container = len(paths)
                 paths.append(f"{above}/{name}.{first}" if first else f"{above}/{name}")
             link = name == "a" and HREF.search(rest) is not None
-            stack.append((name, container, boiler, link))
+            mark = len(content) if marked else None
+            if marked:
+                content.append(False)
+                inner.append(in_story())
+                marks += (mark,)
+            stack.append((name, container, boiler, link, mark))
             hidden += boiler
             in_link += link
         else:
@@ -142,6 +157,22 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
                 if stack[spot][0] in CONTAINER and name not in BLOCK:
                     break
     flush()
+    if content:
+        held, total = [0] * len(content), 0
+        for text, link, around in (piece for _, found in cut for piece in found):
+            running = 0 if link else len("".join(text.split()))
+            total += running
+            for m in around:
+                held[m] += running
+        shown = [c or 2 * n > total and (i or not story) for c, n, i in zip(content, held, inner)]
+        cut = [(inside, [piece for piece in found if all(shown[m] for m in piece[2])]) for inside, found in cut]
+    out = []
+    for inside, found in cut:
+        text = flat([piece for piece, _, _ in found])
+        if text:
+            linked = any(link for _, link, _ in found)
+            running = flat([piece for piece, link, _ in found if not link]) if linked else text
+            out.append((inside, text, len(running) if not linked or WORD.search(running) else 0))
     return out, paths
 
 
