@@ -219,6 +219,37 @@ def test_neighbours_find_nine_in_ten(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_beside_very_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[1::200] *= 1e4
+    v[2::200] *= 1e-200  # their squares are zero
+    queries = np.arange(0, 1000, 20)
+    index = ann.build_index(spark.createDataFrame([(x.tolist(), i) for i, x in enumerate(v)], "v array<double>, vec_id long"), 21)
+    asked = spark.createDataFrame([(int(i), v[i].tolist()) for i in queries], "query_id long, v array<double>")
+    got = defaultdict(set)
+    for r in ann.search(asked, index).collect():
+        got[r.query_id].add(r.vec_id)
+    best = {q: set(sorted((i for i in range(1000) if i != q), key=lambda i: -(v[i] @ v[q]))[:20]) for q in queries}
+    assert sum(len(got[q] & best[q]) for q in queries) >= 0.95 * 20 * len(queries)
+
+
+def test_pruning_equals_plain_rule_at_every_scale():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-2, 1e-4):
+        center = rng.normal(size=9)
+        v = center / np.linalg.norm(center) + scale * rng.normal(size=(40, 9))
+        v = v.astype(np.float32)
+        exact, want = v.astype(np.float64), []
+        alive = sorted(range(1, 40), key=lambda i: ((exact[i] - exact[0]) ** 2).sum())
+        while alive and len(want) < ann.DEGREE:
+            want.append(alive.pop(0))
+            alive = [i for i in alive if ann.ALPHA**2 * ((exact[i] - exact[want[-1]]) ** 2).sum() > ((exact[i] - exact[0]) ** 2).sum()]
+        got = ann.robust_prune(v, np.array([0]), np.arange(40)[None, :])[0]
+        assert got[got >= 0].tolist() == want
+
+
 def test_page_text(spark):
     article = "<article class='post-1'><header>top</header><h1>Title &amp; more</h1><p>First  <b>bold</b>\n line.<p>Second<br>line <script>var a='</p>'</script>here.<ul><li>a<li>b</ul></article>"
     page = (f"<html><head><title>t</title></head><body><nav>menu</nav><div class=\"cookie-notice\">agree</div><div class='wrap'><div id='sidebar'>side</div>{article}"

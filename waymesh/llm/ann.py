@@ -1,13 +1,14 @@
 """Approximate nearest neighbours on a robust-pruned directed graph per shard.
 
-Vectors get one more coordinate that gives all the same length, so nearest by Euclid is largest by inner product. Each
-shard builds its graph in batches: a greedy search from the middle proposes neighbours for every node, relaxed pruning
+Vectors get one more coordinate that gives all of a shard the same length, so nearest by Euclid is largest by inner product.
+A shard holds vectors of one band of lengths, as far shorter ones would all be the same point beside the longest. Each shard builds its graph in batches: a greedy search from the middle proposes neighbours for every node, relaxed pruning
 keeps a neighbour only if no kept one is clearly closer to it, and edges back are added and pruned likewise. Beam search
 then answers blocks of queries on every shard, and the best of all shards are merged. Equal vectors are one node.
 """
 from __future__ import annotations
 
 import io
+import math
 import uuid
 
 import numpy as np
@@ -23,6 +24,8 @@ DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
 BATCH, SHARD_NODES, QUERY_BLOCK = 512, 16_384, 512
 TOP, EVERY = 20, 20
 SHARE = 64
+#: Shards hold lengths within this factor; doubles span fewer bands than BANDS.
+BAND, BANDS = 1.4, 8192
 
 
 def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +67,9 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.
 def robust_prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Up to DEGREE diverse neighbours per node: the nearest is kept, and whatever it is ALPHA times closer to goes."""
     same = (candidates == nodes[:, None]) | (candidates < 0)
-    points = vectors[np.maximum(candidates, 0)]
-    own = vectors[nodes]
-    to_node = ((points - own[:, None, :]) ** 2).sum(axis=2)
+    # seen from the node, so that what cancels below is small beside the distances that are compared
+    points = vectors[np.maximum(candidates, 0)] - vectors[nodes][:, None, :]
+    to_node = (points**2).sum(axis=2)
     to_node[same] = np.inf
     order = to_node.argsort(axis=1, kind="stable")
     rows = np.arange(len(nodes))[:, None]
@@ -150,12 +153,24 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column])
 
 
-def _build(root: str, longest: float, dim: int):
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Every row at length 1, whatever its scale."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _lifted(exact: np.ndarray) -> np.ndarray:
+    """The vectors by the longest of them, with one more coordinate that makes all length 1."""
+    scaled = exact / np.abs(exact).max()
+    scaled = scaled / np.linalg.norm(scaled, axis=1).max()
+    return np.concatenate((scaled, np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
+
+
+def _build(root: str):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[pdf.ids.map(lambda x: x[0]).argsort(kind="stable").to_numpy()]
         exact = _matrix(pdf.v)
-        scaled = exact / longest
-        wide = np.concatenate((scaled, np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))[:, None]), axis=1).astype(np.float32)
+        wide = _lifted(exact)
         graph, entry = build_graph(wide)
         copies = np.array([len(x) for x in pdf.ids])
         held = io.BytesIO()
@@ -182,7 +197,7 @@ def _query(root: str, top: int, beam: int):
         index = _load(root, int(pdf.shard.iat[0]))
         exact, starts = index["exact"], np.cumsum(index["copies"]) - index["copies"]
         q = _matrix(pdf.v)
-        wide = np.concatenate((q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None], np.zeros((len(q), 1))), axis=1).astype(np.float32)
+        wide = np.concatenate((_unit(q), np.zeros((len(q), 1))), axis=1).astype(np.float32)
         found, _ = beam_search(index["wide"], index["graph"], int(index["entry"]), wide, beam)
         out = []
         for qid, vector, nodes in zip(pdf.query_id, q, found):
@@ -198,8 +213,10 @@ def _query(root: str, top: int, beam: int):
 def build_index(vectors: DataFrame, copies: int, shard_nodes: int = SHARD_NODES) -> tuple[str, int]:
     """Write one graph per shard to the shared folder; every vector is in it. Returns the folder and the number of shards."""
     spark = vectors.sparkSession
-    nodes = saved(distinct_vectors(vectors, copies).withColumn("size", F.size("v")), "nodes")
-    stats = nodes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"), F.max("size").alias("dim")).first()
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    nodes = distinct_vectors(vectors, copies).withColumn("size", F.size("v")).withColumn("most", most)
+    nodes = saved(nodes.withColumn("log_length", F.log("most") + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))) / 2), "nodes")
+    stats = nodes.agg(F.count("*").alias("n"), F.max(F.struct("size", "log_length")).alias("top")).first()
     root = scratch(spark, "index")
     if "://" not in root:
         root = f"file://{root}" if not root.startswith("file:") else root.replace("file:", "file://", 1)
@@ -207,9 +224,11 @@ def build_index(vectors: DataFrame, copies: int, shard_nodes: int = SHARD_NODES)
     store.create_dir(folder, recursive=True)
     if not stats["n"]:
         return root, 0
-    shards = -(-stats["n"] // shard_nodes)
-    placed = nodes.where(F.col("size") == stats["dim"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    built = saved(placed.select("shard", "v", "ids").groupBy("shard").applyInPandas(_build(root, stats["longest"], stats["dim"]), "shard int, nodes long"), "shards")
+    dim, longest = stats["top"]
+    placed = nodes.where(F.col("size") == dim).withColumn("band", F.floor((F.lit(longest) - F.col("log_length")) / math.log(BAND)).cast("int"))
+    parts = placed.groupBy("band").agg(F.ceil(F.count("*") / shard_nodes).alias("parts"))
+    placed = placed.join(F.broadcast(parts), "band").withColumn("shard", (F.col("band") + BANDS * F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int"))
+    built = saved(placed.select("shard", "v", "ids").groupBy("shard").applyInPandas(_build(root), "shard int, nodes long"), "shards")
     return root, [r["shard"] for r in built.select("shard").collect()]
 
 
