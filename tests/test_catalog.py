@@ -35,3 +35,9 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_boundary_widths_of_every_lane(spark):
+    rows = entry.queries()["boundary_pair_width"](spark, SF).collect()
+    lanes = [r.p_partkey + 1 for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()]
+    assert sorted(r.lane_id for r in rows) == sorted(lanes)

@@ -134,7 +134,7 @@ def _(v):
 
 @query("boundary_pair_width")
 def _(v):
-    lanes = v.link_roads.where(F.col("id") % 2 == 0).select(F.col("id").alias("lane_id"), "pts")
+    lanes = v.link_roads.select(F.col("id").alias("lane_id"), "pts")
     shifted = F.transform(F.col("pts"), lambda p: F.struct(p["x"].alias("x"), (p["y"] + F.col("id") % 5 + 1).alias("y")))
     other = F.transform(F.col("pts"), lambda p: F.struct(p["x"].alias("x"), (p["y"] - F.col("id") % 3 - 1).alias("y")))
     bounds = v.link_roads.select((F.col("id") * 2).alias("line_id"), shifted.alias("pts")).unionAll(
