@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, htmltext, linktrust, neardup, packing, pii, quality, warc
+from . import ann, bpe, chat, htmltext, licenses, linktrust, neardup, packing, periodic, pii, quality, trie, warc
 from .shared import saved, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,18 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linktrust.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.regrafted(trie.numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.made_periodic(table(spark, sf_dir, "documents"))))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_nearest, op3_packing, op4_near_duplicates, op5_personal_data, op6_byte_bpe, op7_page_text, op8_chat, op9_quality, op10_url_trust, pipeline)}
+    op1_warc, op2_nearest, op3_packing, op4_near_duplicates, op5_personal_data, op6_byte_bpe, op7_page_text, op8_chat, op9_quality, op10_url_trust,
+    op11_prefix_trie, op12_periodic_runs, op13_license_scan, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_warc": """
@@ -109,4 +122,7 @@ ORACLES: dict[str, str] = {
                sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
                sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op11_prefix_trie": trie.ORACLE,
+    "op12_periodic_runs": periodic.ORACLE,
+    "op13_license_scan": licenses.oracle(),
 }

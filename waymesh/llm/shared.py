@@ -63,3 +63,10 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     executors, so that long texts stay where they are; beyond that the join shuffles."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return df.join(ids, key, "left_semi")
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII expression in DuckDB's SQL, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295::BIGINT)"
