@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import salts_for, saved
+from .shared import map_frames, salts_for, saved
 
 SEQUENCE, END_ID, GRID_TOKENS = 4096, 2, 16
 CACHE_WORDS = 350_000
 BATCH_MISSES = 4096
+WORD_END = "</w>"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: One comma or stop between a Latin letter or digit and white space is a word of its own to the tokenizer.
 OTHER_MARK = re.compile(r"(?<![0-9A-Za-z\u00df-\u00f6\u00f8-\u00ff])[.,](?!\S)")
@@ -40,6 +41,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -55,8 +59,21 @@ class WordTokens:
                     young[w] = old.get(w)
                     if young[w] is None:
                         fresh.append(w)
-        for at in range(0, len(fresh), BATCH_MISSES):
-            part = fresh[at:at + BATCH_MISSES]
+        # words of letters alone are one piece each, whose last token bears the end mark: they go in as one text
+        plain = [w for w in fresh if w.isalpha() and max(w) < "\u0100"]
+        for at in range(0, len(plain), BATCH_MISSES):
+            part = plain[at:at + BATCH_MISSES]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            data, start = ids.tobytes(), 0
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            for w, stop in zip(part, stops):
+                young[w] = data[start:stop]
+                start = stop
+        other = [w for w in fresh if young[w] is None]
+        for at in range(0, len(other), BATCH_MISSES):
+            part = other[at:at + BATCH_MISSES]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 young[w] = np.array(e.ids, "<u4").tobytes()
         out = [np.frombuffer(b"".join(f if None not in f else map(young.__getitem__, w)), "<u4") for w, f in zip(words_of, found_of)]
@@ -115,7 +132,7 @@ def document_pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataF
             yield made if with_ids else made.drop(columns="ids")
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -5,8 +5,12 @@ import contextlib
 import tempfile
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH_ROWS = 256
 
@@ -45,6 +49,21 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+WHOLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}.get
+
+
+def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """``mapInPandas`` whose whole numbers stay exact: a null in a batch does not turn its ids into floats, but is ``pd.NA``."""
+    made = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(made)
+
+    def batches(given):
+        for pdf in run(b.to_pandas(types_mapper=WHOLE) for b in given):
+            yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(batches, made)
+
+
 def filled(df: DataFrame, column: str) -> DataFrame:
     """Null becomes the empty string."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
