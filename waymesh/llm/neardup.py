@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .shared import only_ids, saved
+from .shared import discard, only_ids, saved
 from .words import mix, shingle_set
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -86,7 +86,8 @@ def _signatures(batches):
 
 def _sets(batches):
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "shingles": [shingle_set(t.encode(), SHINGLE).tobytes() for t in pdf.text]})
+        sets = [shingle_set(t.encode(), SHINGLE).tobytes() for t in pdf.text]
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "set_digest": [hashlib.md5(s).digest() for s in sets], "shingles": sets})
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -152,18 +153,36 @@ def _exact_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """Full shingle sets of some documents, made from their texts."""
-    chosen = only_ids(docs.where(F.col("text").isNotNull()), saved(ids.distinct(), "ids"), "doc_id")
-    return saved(chosen.dropDuplicates(["doc_id"]).mapInPandas(_sets, "doc_id long, shingles binary"), "sets")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs whose full sets are linked."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
+    wanted = saved(ids.distinct(), "ids")
+    chosen = only_ids(docs.where(F.col("text").isNotNull()), wanted, "doc_id")
+    made = chosen.mapInPandas(_sets, "doc_id long, set_digest binary, shingles binary")
+    sets = made.select("doc_id", "shingles")
+    if repeated is not None:
+        least = made.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("shingles", "set_digest").alias("shingles"))
+        sets = made.join(repeated, "doc_id", "left_anti").select("doc_id", "shingles").unionAll(least)
+    sets = saved(sets, "sets")
+    discard(wanted)
+    return sets
+
+
+def _surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs that stay after comparing their signatures batch by batch."""
+    both = (pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
+            .join(sigs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a"))
+    return saved(both.mapInPandas(_survivors, "a long, b long"), "survivors")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``a, b`` of the pairs (a saved table, dropped afterwards) whose full sets are linked."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, repeated)
     both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a"))
-    return saved(both.mapInPandas(_exact, "a long, b long"), "links")
+    links = saved(both.mapInPandas(_exact, "a long, b long"), "links")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -176,6 +195,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     marks = saved(docs.mapInPandas(_signatures, "doc_id long, n_shingles long, set_digest binary, signature binary, bands array<long>"), "marks")
     filled = marks.where(F.col("n_shingles") > 0)
+    repeated = saved(filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        repeated = None
+    else:
+        least = filled.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.min("set_digest").alias("set_digest"), *(F.min_by(c, "set_digest").alias(c) for c in ("n_shingles", "signature", "bands")))
+        filled = filled.join(repeated, "doc_id", "left_anti").unionByName(least)
     # classes of equal sets: the smallest id per share of a set, then per set; no class meets in one task
     shares = filled.select("set_digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("share"))
     first = shares.groupBy("set_digest", "share").agg(F.min("doc_id").alias("low"))
@@ -186,28 +212,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = saved(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where(F.col("size") > 1), "buckets")
     crowd = saved(rows.join(buckets, "bucket"), "bucket-rows")
+    discard(buckets)
     sigs = reps.select("doc_id", "signature")
-    star = crowd.where(F.col("doc_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = saved(star.join(sigs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
-                 .join(sigs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a")
-                 .mapInPandas(_survivors, "a long, b long"), "star")
-    links = _verify(star, docs)
+    star = saved(crowd.where(F.col("doc_id") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("bands")), "star")
+    # first every document with the pivot that it shares most bands with; of the other pairs only those whose ends are still apart
+    best = star.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+    links = _verify(_surviving(best, sigs), docs, repeated)
     labels = saved(_components(links), "labels")
+    rest = _named(star.withColumnRenamed("b", "doc_id"), labels).select(F.col("a").alias("doc_id"), F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+    rest = saved(_named(rest, labels).where("component <> of_b").select(F.col("doc_id").alias("a"), "b"), "rest")
+    discard(star)
+    if not rest.isEmpty():
+        links = links.unionAll(_verify(_surviving(rest, sigs), docs, repeated))
+        labels = saved(_components(links), "labels")
+    discard(rest)
     families = _families(crowd, labels)
+    discard(crowd)
     if not families.isEmpty():
         # most minority members join their nearest neighbour's component; what is still apart is verified pair by pair
         nearest = _blocks(_open(families, labels).join(sigs, "doc_id"), _nearest, "a long, b long, same long")
         nearest = saved(nearest.groupBy("a").agg(F.max_by("b", F.struct("same", F.col("b"))).alias("b")), "nearest")
-        links = links.unionAll(_verify(nearest, docs))
+        links = links.unionAll(_verify(nearest, docs, repeated))  # which drops ``nearest``
         labels = saved(_components(links), "labels")
         apart = saved(_open(families, labels), "apart")
-        sets = _sets_of(apart.select("doc_id"), docs)
+        sets = _sets_of(apart.select("doc_id"), docs, repeated)
         links = links.unionAll(saved(_blocks(apart.join(sigs, "doc_id").join(sets, "doc_id"), _exact_links, "a long, b long"), "links"))
+        discard(sets)
+        discard(apart)
         labels = saved(_components(links), "labels")
-    in_class = filled.where(F.col("n_shingles") > 0).select("doc_id").distinct().join(member.distinct(), "doc_id")
-    named = in_class.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
+    named = member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component_id"))
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = marks.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles", "component_id", "kept")
 
