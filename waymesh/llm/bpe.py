@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_frames
+
 CACHE_PIECES = 300_000
 CACHE_PAIRS = 500_000
 
@@ -178,7 +180,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": [enc.encode(t) if isinstance(t, str) else [] for t in pdf.text]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -193,4 +195,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_frames
+
 START, END = "<|im_start|>", "<|im_end|>"
 _RAW, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_ROLE_ESCAPE = re.compile(r"\\(.)", re.S)
 #: Tokens that one placeholder stands for: per tile of an image, second of sound, page of a document.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
 PART = "struct<type:string,text:string,ref:string,units:long>"
@@ -65,7 +68,12 @@ class Visitor:
 
 
 def open_turn(role: str | None) -> str:
-    return f"{START}{escape(role or '').replace(chr(10), ' ')}\n"
+    """The head of a turn; backslashes and line breaks of the role are escaped, so the head is one line."""
+    return f"{START}{escape((role or '').replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n"
+
+
+def role_of(head: str) -> str:
+    return _ROLE_ESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(head))
 
 
 FORMAT_SCHEMA = ("conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, "
@@ -81,7 +89,7 @@ def _format(batches):
     for pdf in batches:
         rows = []
         for conv_id, role, parts in zip(pdf.conv_id, pdf.role, pdf.parts):
-            if out is None or conv_id != conv:
+            if out is None or (conv_id is pd.NA) != (conv is pd.NA) or conv is not pd.NA and conv_id != conv:
                 if out is not None:
                     rows.append(done())
                 conv, out = conv_id, {"text": [], "size": 0, "loss": [], "files": [], "tokens": 0, "turns": 0}
@@ -106,11 +114,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns are streamed in sorted order, so only the conversation at hand is in memory. Null text is empty, null parts are
     none, null roles are empty; rows with the same turn follow each other by role and content; repeated rows are turns of
-    their own; a line break in a role becomes a space. Null conv_ids form one conversation.
+    their own. Rows without conv_id form one conversation, without id.
     """
     content = F.to_json("parts")
     rows = turns.select("conv_id", "turn", "role", "parts", content.alias("_content")).repartition(F.col("conv_id"))
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "_content").select("conv_id", "role", "parts").mapInPandas(_format, FORMAT_SCHEMA)
+    return map_frames(rows.sortWithinPartitions("conv_id", "turn", "role", "_content").select("conv_id", "role", "parts"), _format, FORMAT_SCHEMA)
 
 
 def text_parts(conversations: DataFrame) -> DataFrame:
@@ -125,7 +133,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     turns = []
     for piece in formatted.split(START)[1:]:
         role, _, rest = piece.partition("\n")
-        turns.append((unescape(role), unescape(rest[:rest.rindex(END)])))
+        turns.append((role_of(role), unescape(rest[:rest.rindex(END)])))
     return turns
 
 
@@ -142,5 +150,5 @@ def _digest(batches):
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Figures read back from formatted conversations."""
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(
-        _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_frames(formatted.select("conv_id", "formatted", "loss_spans"), _digest,
+                      "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linktrust import host_of
+from .shared import map_frames
 
 #: Elements whose content is no text, that are boilerplate, that end a block, that have no end tag.
 RAW = frozenset("script style noscript template textarea iframe svg math canvas object select title noembed noframes xmp".split())
@@ -238,4 +239,4 @@ def extract(pages: DataFrame, winners: DataFrame) -> DataFrame:
     else:
         spread = winners.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15))))
         rows = rows.withColumn("share", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")).join(spread, ["host", "share"], "left")
-    return rows.select("page_id", "url", "html", "path").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return map_frames(rows.select("page_id", "url", "html", "path"), _extract, "page_id long, url string, text string, n_chars long")

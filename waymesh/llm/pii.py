@@ -1,6 +1,6 @@
 """Personal data: exact forms first, then bootstrapped contextual extraction.
 
-Matches of the exact forms are seeds. The words before a seed are its lexical patterns. Looser forms of the same kinds are
+Matches of the exact forms are seeds. The words before and behind a seed are its lexical patterns. Looser forms of the same kinds are
 candidate instances; they stand in the same pattern-instance graph, which Spark scores in rounds: a pattern is as sure as
 the share of all its occurrences in the corpus that hold a likely instance, an instance is as sure as its patterns
 together. Instances of sure, well-supported patterns become spans; the exact ones always stay.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .shared import saved
+from .shared import map_frames, saved
 from .words import window_hashes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +33,10 @@ LOOSE = {"email": re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\x20?(?:@|\(at\)|\[at\
 LOOSE_DIGITS = {"card": (13, 19), "phone": (7, 15)}
 SUPPORT, SURE_PATTERN, SURE_INSTANCE, ROUNDS = 5, 0.5, 0.9, 3
 CONTEXT_CHARS = 200
-MENTION = "kind string, seed boolean, start long, end long, instance long, pattern_1 long, pattern_2 long"
+PATTERNS = ("before_1", "before_2", "after_1", "after_2")
+#: Patterns behind a place have keys of their own.
+AFTER = 0x5DEECE66D1234567
+MENTION = "kind string, seed boolean, start long, end long, instance long, before_1 long, before_2 long, after_1 long, after_2 long"
 
 
 def luhn(digits: str) -> bool:
@@ -79,11 +82,17 @@ def loose(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
     for kind in KINDS:
         if kind == "email" and "@" not in text and "at)" not in text and "at]" not in text:
             continue
+        low, high = LOOSE_DIGITS.get(kind, (0, 1 << 30))
+        found, at, end = [], 0, 0
         for m in LOOSE[kind].finditer(text):
-            low, high = LOOSE_DIGITS.get(kind, (0, 1 << 30))
-            if low <= sum(map(str.isdigit, m[0])) <= high and not any(a < m.end() and m.start() < b for a, b in used):
-                out.append((kind, *m.span()))
-                used.append(m.span())
+            start, stop = m.span()
+            while at < len(used) and used[at][0] < stop:  # the furthest end of all used spans that start before this one ends
+                end = max(end, used[at][1])
+                at += 1
+            if end <= start and low <= sum(map(str.isdigit, m[0])) <= high:
+                found.append((start, stop))
+        out += [(kind, *span) for span in found]
+        used = sorted(used + found)
     return out
 
 
@@ -91,23 +100,48 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.lower().encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _patterns(text: str, start: int) -> tuple[int | None, int | None]:
-    """Keys of the one and two words before a place."""
-    words = word_hashes(text[max(0, start - CONTEXT_CHARS):start].encode(), lower=True)[-2:]
-    keys = [int(window_hashes(words[-k:], k).view(np.int64)[0]) if len(words) >= k else None for k in (1, 2)]
-    return keys[0], keys[1]
+def _patterns(text: str, start: int, end: int) -> list[int | None]:
+    """Keys of the one and two words before a place and behind it."""
+    before, after = _words_before(text, start)[-2:], _words_after(text, end)[:2]
+    keys: list[int | None] = []
+    for words, mark in ((before, 0), (after, AFTER)):
+        for k in (1, 2):
+            part = words[-k:] if mark == 0 else words[:k]
+            keys.append(int(window_hashes(part, k).view(np.int64)[0]) ^ mark if len(part) == k else None)
+    return keys
+
+
+def _words_before(text: str, start: int) -> np.ndarray:
+    """At least the two last words before a place, none of them cut."""
+    size = CONTEXT_CHARS
+    while True:
+        low = max(0, start - size)
+        words = word_hashes(text[low:start].encode(), lower=True)
+        if not low or len(words) > 2:
+            return words
+        size *= 4
+
+
+def _words_after(text: str, end: int) -> np.ndarray:
+    size = CONTEXT_CHARS
+    while True:
+        high = min(len(text), end + size)
+        words = word_hashes(text[end:high].encode(), lower=True)
+        if high == len(text) or len(words) > 2:
+            return words
+        size *= 4
 
 
 def _find(batches):
     for pdf in batches:
         out = []
-        for doc, text in zip(pdf.doc_id, pdf.text):
+        for doc, digest, text in zip(pdf.doc_id, pdf.digest, pdf.text):
             text = text if isinstance(text, str) else ""
             spans = exact(text)
             more = loose(text, spans) if DIGIT_OR_AT.search(text) else []
-            told = [(k, s, a, b, _hash(text[a:b]), *_patterns(text, a)) for s, found in ((True, spans), (False, more)) for k, a, b in found]
-            out.append((doc, [dict(zip(("kind", "seed", "start", "end", "instance", "pattern_1", "pattern_2"), t)) for t in told]))
-        yield pd.DataFrame(out, columns=["doc_id", "mentions"])
+            told = [(k, s, a, b, _hash(text[a:b]), *_patterns(text, a, b)) for s, found in ((True, spans), (False, more)) for k, a, b in found]
+            out.append((doc, digest, [dict(zip(("kind", "seed", "start", "end", "instance", *PATTERNS), t)) for t in told]))
+        yield pd.DataFrame(out, columns=["doc_id", "digest", "mentions"])
 
 
 DIGIT_OR_AT = re.compile(r"[0-9@]|\(at\)|\[at\]")
@@ -121,24 +155,29 @@ def _occurrences(keys: np.ndarray):
                 if isinstance(text, str) and text:
                     words = word_hashes(text.encode(), lower=True)
                     for k in (1, 2):
-                        seen = window_hashes(words, k).view(np.int64)
-                        spot = np.searchsorted(keys, seen)
-                        hit = spot[keys[np.minimum(spot, len(keys) - 1)] == seen]
-                        total += np.bincount(hit, minlength=len(keys))
+                        for mark in (0, AFTER):
+                            seen = window_hashes(words, k).view(np.int64) ^ mark
+                            spot = np.searchsorted(keys, seen)
+                            hit = spot[keys[np.minimum(spot, len(keys) - 1)] == seen]
+                            total += np.bincount(hit, minlength=len(keys))
             yield pd.DataFrame({"pattern": keys, "n": total})[total > 0]
 
     return run
 
 
 def _accepted(docs: DataFrame, mentions: DataFrame) -> DataFrame | None:
-    """``kind, instance`` of looser instances that the pattern graph is sure of; None if no pattern ties one to enough seeds."""
-    edges = mentions.select("kind", "instance", "seed", F.explode(F.array("pattern_1", "pattern_2")).alias("pattern")).where(F.col("pattern").isNotNull())
+    """``kind, instance`` of looser instances that the pattern graph is sure of; None if no pattern ties one to enough others.
+
+    Patterns with SUPPORT different instances are in the graph. In every round a pattern counts once SUPPORT of its instances are seeds or
+    accepted by then, so instances found in one round support patterns in the next that no seed stands by.
+    """
+    edges = mentions.select("kind", "instance", "seed", F.explode(F.array(*PATTERNS)).alias("pattern")).where(F.col("pattern").isNotNull())
     edges = cut(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
-    support = edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    wanted = cut(edges.where(~F.col("seed")).select("kind", "pattern").distinct().join(support, ["kind", "pattern"]))
-    if wanted.isEmpty():
+    support = edges.groupBy("kind", "pattern").agg(F.count("*").alias("all_n"), F.count_if("seed").alias("seeds"))
+    wanted = cut(support.where((F.col("all_n") >= SUPPORT) & (F.col("all_n") > F.col("seeds"))).select("kind", "pattern"))
+    if wanted.isEmpty() or support.where(F.col("seeds") >= SUPPORT).isEmpty():
         return None
-    edges = cut(edges.join(wanted.select("kind", "pattern"), ["kind", "pattern"]))
+    edges = cut(edges.join(wanted, ["kind", "pattern"]))
     patterns = wanted.select("pattern").distinct()
     if patterns.count() <= 1_000_000:  # eight bytes each
         keys = np.sort(np.array([r[0] for r in patterns.collect()], np.int64))
@@ -148,18 +187,20 @@ def _accepted(docs: DataFrame, mentions: DataFrame) -> DataFrame | None:
     occurrences = cut(counted.groupBy("pattern").agg(F.sum("n").alias("occurrences")))
     scores = edges.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("kind", "instance").agg(F.max("score").alias("score"))
     for _ in range(ROUNDS):
-        held = edges.join(scores, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum(F.col("score") * F.col("n")).alias("held"), F.sum("n").alias("all_n"))
-        sure = held.join(occurrences, "pattern", "left").select("kind", "pattern", (
+        held = edges.join(scores, ["kind", "instance"]).groupBy("kind", "pattern").agg(
+            F.sum(F.col("score") * F.col("n")).alias("held"), F.sum("n").alias("all_n"), F.count_if(F.col("score") >= SURE_INSTANCE).alias("support"))
+        sure = held.where(F.col("support") >= SUPPORT).join(occurrences, "pattern", "left").select("kind", "pattern", (
             F.col("held") / (F.greatest("all_n", F.coalesce("occurrences", F.lit(0))) + 1)).alias("sure")).where(F.col("sure") >= SURE_PATTERN)
-        told = edges.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))))).alias("told"), F.max("seed").alias("seed"))
+        told = edges.join(sure, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("sure", F.lit(0.0)), F.lit(1e-9)))))).alias("told"), F.max("seed").alias("seed"))
         scores = cut(told.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("told")).alias("score")))
-    return scores.where(F.col("score") >= SURE_INSTANCE).select("kind", "instance")
+    loose_ones = edges.where(~F.col("seed")).select("kind", "instance").distinct()
+    return scores.where(F.col("score") >= SURE_INSTANCE).select("kind", "instance").join(loose_ones, ["kind", "instance"], "left_semi")
 
 
 def _all_patterns(batches):
     for pdf in batches:
-        found = [window_hashes(word_hashes(t.encode(), lower=True), k).view(np.int64) for t in pdf.text if isinstance(t, str) for k in (1, 2)]
+        found = [window_hashes(word_hashes(t.encode(), lower=True), k).view(np.int64) ^ mark for t in pdf.text if isinstance(t, str) for k in (1, 2) for mark in (0, AFTER)]
         keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         yield pd.DataFrame({"pattern": keys, "n": n})
 
@@ -167,21 +208,41 @@ def _all_patterns(batches):
 SPANS = "array<struct<kind:string,seed:boolean,start:long,end:long>>"
 
 
+COPIES = 16
+
+
+def _mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All mentions per row of ``docs`` (``doc_id, text``) with the text's digest, and per digest its accepted looser ones (None: there are none)."""
+    rows = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    found = saved(map_frames(rows, _find, f"doc_id long, digest string, mentions array<struct<{', '.join(f'{a}:{b}' for a, b in (m.split() for m in MENTION.split(', ')))}>>"), "mentions")
+    accepted = _accepted(docs, found.select(F.explode("mentions").alias("m")).select("m.*"))
+    if accepted is None:
+        return found, None
+    # equal texts have equal mentions: one row of each digest stands for all
+    each = found.where(F.exists("mentions", lambda m: ~m["seed"])).select("digest", F.explode("mentions").alias("m")).where(~F.col("m.seed")).select(
+        "digest", "m.kind", "m.start", "m.end", "m.instance").distinct()
+    sure = each.join(accepted, ["kind", "instance"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("kind", F.lit(False).alias("seed"), "start", "end")).alias("more"))
+    return found, saved(sure.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))), "accepted")
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` (kind, seed, start, end in code points; exact ones have ``seed``) of every whole text.
 
-    Null and empty texts have no spans. Repeated rows come out once each. Spans are listed by kind, then start.
+    Null and empty texts have no spans. Rows with null or repeated ids come out once each. Spans are listed by kind, then start.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = saved(docs.mapInPandas(_find, f"doc_id long, mentions array<struct<{', '.join(f'{a}:{b}' for a, b in (m.split() for m in MENTION.split(', ')))}>>"), "mentions")
-    accepted = _accepted(docs, found.select(F.explode("mentions").alias("m")).select("m.*"))
-    seeds = F.filter("mentions", lambda m: m["seed"])
-    if accepted is None:
+    found, sure = _mentions(docs)
+    seeds = F.transform(F.filter("mentions", lambda m: m["seed"]), _span)
+    if sure is None:
         return found.select("doc_id", _listed(seeds).alias("spans"))
-    sure = found.select("doc_id", F.explode("mentions").alias("m")).where(~F.col("m.seed")).select("doc_id", "m.*").join(accepted, ["kind", "instance"], "left_semi")
-    more = sure.groupBy("doc_id").agg(F.collect_set("instance").alias("sure"))
-    return found.join(more, "doc_id", "left").select("doc_id", _listed(F.filter(
-        "mentions", lambda m: m["seed"] | F.coalesce(F.array_contains(F.col("sure"), m["instance"]), F.lit(False)))).alias("spans"))
+    # the accepted ones of a text lie in COPIES shares, so a text that very many rows have is spread
+    share = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(COPIES)).cast("int")
+    return found.withColumn("copy", share).join(sure, ["digest", "copy"], "left").select(
+        "doc_id", _listed(F.concat(seeds, F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
+
+
+def _span(m):
+    return F.struct(m["kind"].alias("kind"), m["seed"].alias("seed"), m["start"].alias("start"), m["end"].alias("end"))
 
 
 def _listed(mentions):
@@ -198,27 +259,38 @@ def told(spans) -> F.Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; of overlapping spans the union goes. Other columns stay.
 
-    ``n_chars``, where present, is counted anew.
+    Every row is redacted by what its own text holds, whatever its doc_id: exact spans are found where the text is, accepted looser ones
+    come by the text's digest. ``n_chars``, where present, is counted anew. Null texts stay null.
     """
-    spans = saved(find_personal_data(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id"]), "spans").withColumnRenamed("doc_id", "_doc")
-    few = spans.count() <= 200_000
-    rows = docs.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    columns = docs.schema.names
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, sure = _mentions(plain)
+    columns = docs.columns
+    extra = "more"
+    while extra in columns:
+        extra = f"_{extra}"
+    none = F.lit(None).cast(SPANS)
+    if sure is None:
+        rows = docs.withColumn(extra, none)
+    else:
+        digest, copy = f"{extra}_digest", f"{extra}_copy"
+        given = docs.withColumns({digest: F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), copy: F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int")})
+        rows = given.join(sure.select(F.col("digest").alias(digest), F.col("copy").alias(copy), F.col("more").alias(extra)), [digest, copy], "left").select(*columns, extra)
 
     def run(batches):
         for pdf in batches:
-            texts = [_replaced(t, s) if isinstance(t, str) and s is not None else t for t, s in zip(pdf.text, pdf.spans)]
+            texts = [_replaced(t, exact(t) + [(m["kind"], m["start"], m["end"]) for m in (more if more is not None else ())]) if isinstance(t, str) else None
+                     for t, more in zip(pdf.text, pdf[extra])]
             yield pdf.assign(text=texts)[columns]
 
-    out = rows.select(*columns, "spans").mapInPandas(run, docs.schema)
+    out = map_frames(rows, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
-def _replaced(text: str, spans) -> str:
+def _replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-        if s["end"] > at:
-            if s["start"] >= at:
-                out += [text[at:s["start"]], f"<{s['kind'].upper()}>"]
-            at = s["end"]
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if end > at:
+            if start >= at:
+                out += [text[at:start], f"<{kind.upper()}>"]
+            at = end
     return "".join([*out, text[at:]])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import saved, scratch
+from .shared import map_frames, saved, scratch
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
         if files is not None:
             yield pd.DataFrame([m for m in [files.commit()] if m], columns=["file", "records", "bytes", "sha256"])
 
-    manifest = rows.mapInPandas(write, MANIFEST)
+    manifest = map_frames(rows, write, MANIFEST)
     manifest.write.parquet(f"{root}/_manifest")
     return pages.sparkSession.read.schema(manifest.schema).parquet(f"{root}/_manifest")
 
@@ -227,12 +227,12 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = True) -> Data
                 yield _frame(rows, columns)
 
     files = manifest.select("file").repartition(max(1, min(manifest.count(), 4096)), "file")
-    return files.mapInPandas(read, names)
+    return map_frames(files, read, names)
 
 
 def _frame(rows, columns) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=columns)
-    return made.astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+    whole = ("page_id", "payload_bytes", "refers_to")
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], "Int64") if c in whole else pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(columns)})
 
 
 def archived(pages: DataFrame) -> DataFrame:
