@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .shared import discard, only_ids, saved
+from .shared import discard, only_ids, saved, sweep
 from .words import mix, shingle_set
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -182,6 +182,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None) -> Da
     links = saved(both.mapInPandas(_exact, "a long, b long"), "links")
     discard(sets)
     discard(pairs)
+    del both, sets
+    sweep(docs.sparkSession)
     return links
 
 
@@ -213,18 +215,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = saved(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where(F.col("size") > 1), "buckets")
     crowd = saved(rows.join(buckets, "bucket"), "bucket-rows")
     discard(buckets)
+    sweep(docs.sparkSession)
     sigs = reps.select("doc_id", "signature")
     star = saved(crowd.where(F.col("doc_id") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("bands")), "star")
     # first every document with the pivot that it shares most bands with; of the other pairs only those whose ends are still apart
     best = star.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
     links = _verify(_surviving(best, sigs), docs, repeated)
-    labels = saved(_components(links), "labels")
+    labels = _labels(links)
     rest = _named(star.withColumnRenamed("b", "doc_id"), labels).select(F.col("a").alias("doc_id"), F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
     rest = saved(_named(rest, labels).where("component <> of_b").select(F.col("doc_id").alias("a"), "b"), "rest")
     discard(star)
     if not rest.isEmpty():
         links = links.unionAll(_verify(_surviving(rest, sigs), docs, repeated))
-        labels = saved(_components(links), "labels")
+        labels = _labels(links)
     discard(rest)
     families = _families(crowd, labels)
     discard(crowd)
@@ -233,21 +236,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nearest = _blocks(_open(families, labels).join(sigs, "doc_id"), _nearest, "a long, b long, same long")
         nearest = saved(nearest.groupBy("a").agg(F.max_by("b", F.struct("same", F.col("b"))).alias("b")), "nearest")
         links = links.unionAll(_verify(nearest, docs, repeated))  # which drops ``nearest``
-        labels = saved(_components(links), "labels")
+        labels = _labels(links)
         apart = saved(_open(families, labels), "apart")
         sets = _sets_of(apart.select("doc_id"), docs, repeated)
         links = links.unionAll(saved(_blocks(apart.join(sigs, "doc_id").join(sets, "doc_id"), _exact_links, "a long, b long"), "links"))
         discard(sets)
         discard(apart)
-        labels = saved(_components(links), "labels")
+        labels = _labels(links)
     named = member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component_id"))
     out = marks.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+def _labels(links: DataFrame) -> DataFrame:
+    """``node, component`` of the links, saved; shuffles of the rounds are swept away."""
+    labels = saved(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
+    sweep(links.sparkSession)
+    return labels
 
 
 def _families(crowd: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,7 +263,11 @@ def _families(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     edges = saved(crowd.join(mixed, "bucket").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst")).distinct(), "edges")
     if edges.isEmpty():
         return edges.select(F.col("src").alias("doc_id"), F.col("dst").alias("family"))
-    return saved(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    families = saved(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    discard(edges)
+    discard(mixed)
+    sweep(edges.sparkSession)
+    return families
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:

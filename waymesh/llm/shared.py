@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,15 @@ def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(batches, made)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete what finished jobs left on the executors' disks: it does so once the driver's collector has seen that nothing refers to it.
+
+    Jobs of many rounds make hundreds of small shuffles, which would otherwise lie there until the collector happens to run.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def filled(df: DataFrame, column: str) -> DataFrame:
     """Null becomes the empty string."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
