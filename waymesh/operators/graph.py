@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         hub_rows = max(LEAST_HUB, 2 * seen[0] // MOST_HUBS)
         both = pairs.select("u", "v").unionAll(pairs.select("v", "u"))
         large = _with_lowest(both, hub_rows).where(F.col("v") > F.col("u")).select(
-            F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+            F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v")
         small = _with_lowest(large, hub_rows).select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
