@@ -6,7 +6,7 @@ from .registry import all_oracles, all_queries
 MODULES = (
     "scans", "scalars", "geometry", "joins", "aggregates", "windows", "sets", "graphs",
     "preprocess", "segments", "anchors", "replacement", "rules", "quality", "lanes",
-    "review", "scoring", "followup", "checks", "streams",
+    "review", "scoring", "followup", "checks", "streams", "searches",
 )
 for _module in MODULES:
     import_module(f"{__name__}.{_module}")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import graph as GR
 from ..operators import joins as J
+from ..operators import search as SE
 from .joins import canon_roads, relation_last
 from .registry import query
 from .views import VIEW_SQL
@@ -159,13 +160,15 @@ def _(v):
     return comp.groupBy("component").agg(F.count("*").alias("nodes"), F.count_if(F.col("node") % 4 == 1).alias("required_nodes")).where("required_nodes >= 2")
 
 
-@query("enumerate_simple_paths", """WITH p(unit, node, nodes, roads) AS (SELECT (id - 1) // 8, id, [id], []::BIGINT[] FROM net_nodes WHERE id % 8 = 1 UNION ALL
-    SELECT p.unit, e.dst, list_append(p.nodes, e.dst), list_append(p.roads, e.road_id) FROM p JOIN chain_both e ON e.src = p.node AND e.unit = p.unit WHERE len(p.roads) < 7 AND NOT list_contains(p.nodes, e.dst))
-    SELECT unit, array_to_string(nodes, '-') AS path, len(roads) AS edges FROM p WHERE len(roads) > 0""")
+@query("enumerate_simple_paths", """WITH p(unit, node, nodes, m) AS (SELECT (id - 1) // 8, id, [id], 0::BIGINT FROM net_nodes WHERE id % 8 = 1 UNION ALL
+    SELECT p.unit, e.dst, list_append(p.nodes, e.dst), p.m + e.length_m FROM p JOIN chain_both e ON e.src = p.node AND e.unit = p.unit WHERE p.m + e.length_m <= 60 AND NOT list_contains(p.nodes, e.dst)),
+    c AS (SELECT DISTINCT p.unit FROM p JOIN chain_both e ON e.src = p.node AND e.unit = p.unit WHERE p.m + e.length_m > 60 AND NOT list_contains(p.nodes, e.dst))
+    SELECT unit, array_to_string(nodes, '-') AS path, len(nodes) - 1 AS edges, CAST(m AS DOUBLE) AS length_m, unit IN (SELECT unit FROM c) AS cut FROM p WHERE len(nodes) > 1""")
 def _(v):
     starts = v.net_nodes.where(F.col("id") % 8 == 1).select(F.floor((F.col("id") - 1) / 8).alias("unit"), F.col("id").alias("node"))
-    paths = GR.simple_paths(GR.both_ways(chain_edges(v).select("unit", "src", "dst", "road_id")), starts, 7)
-    return paths.select("unit", F.array_join("nodes", "-").alias("path"), F.size("roads").cast("bigint").alias("edges"))
+    paths, over = SE.paths_within(GR.both_ways(chain_edges(v).select("unit", "src", "dst", "road_id", "length_m")), starts, 60.0)
+    return paths.join(over.withColumn("cut", F.lit(True)), "unit", "left").select(
+        "unit", F.array_join("nodes", "-").alias("path"), F.size("roads").cast("bigint").alias("edges"), "length_m", F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 @query("oneway_trace")

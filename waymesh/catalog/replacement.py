@@ -330,12 +330,13 @@ def _(v):
     return RP.backfill_node_map(maps, v.relations.where("status = 0").select(F.col("target_id").alias("node_id"), "base_id"))
 
 
-@query("transition_closure", """WITH rb AS (SELECT segment_id FROM lookup WHERE reason IS NOT NULL AND segment_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')), o AS (SELECT node_id FROM seg_nodes WHERE segment_id IN (SELECT * FROM rb) GROUP BY node_id HAVING count(DISTINCT segment_id) = 1)
-    SELECT DISTINCT segment_id FROM seg_nodes WHERE node_id IN (SELECT * FROM o) AND segment_id NOT IN (SELECT * FROM rb) AND segment_id % 2 = 0""")
+@query("transition_closure", """WITH m AS (SELECT o_orderkey + 1 AS segment_id, o_orderkey * 5 AS node_id FROM orders UNION ALL SELECT o_orderkey + 1, o_orderkey * 5 + 5 * (1 + o_orderkey % 3) FROM orders),
+    rb AS (SELECT segment_id FROM lookup WHERE reason IS NOT NULL), o AS (SELECT node_id FROM m WHERE segment_id IN (SELECT * FROM rb) GROUP BY node_id HAVING count(DISTINCT segment_id) = 1)
+    SELECT DISTINCT segment_id FROM m WHERE node_id IN (SELECT * FROM o) AND segment_id NOT IN (SELECT * FROM rb) AND segment_id % 2 = 0""")
 def _(v):
-    urgent = v.orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("segment_id"))
-    rolled = lookup(v).where("NOT passed").select("segment_id").join(urgent, "segment_id", "left_semi")
-    return RP.transition_closure(rolled, v.seg_nodes.select("segment_id", "node_id"), v.net_roads.where("id % 2 = 0").select(F.col("id").alias("segment_id")))
+    o = F.col("o_orderkey")
+    ends = v.orders.select((o + 1).alias("segment_id"), F.explode(F.array(o * 5, o * 5 + 5 * (1 + o % 3))).alias("node_id"))
+    return RP.transition_closure(lookup(v).where("NOT passed").select("segment_id"), ends, v.net_roads.where("id % 2 = 0").select(F.col("id").alias("segment_id")))
 
 
 @query("surface_release", """WITH m AS (SELECT target_id, base_id, target_id // 2 AS plan_id, CASE WHEN target_id // 2 % 3 = 0 THEN 'ready' ELSE 'blocked' END AS state FROM (SELECT DISTINCT target_id, base_id FROM relation_last)), r AS (SELECT DISTINCT target_id, base_id FROM relations WHERE status = 0)

@@ -292,21 +292,6 @@ def topo_offsets(edges: DataFrame) -> DataFrame:
     return state.select("node", F.coalesce("offset_m", F.lit(0.0)).alias("offset_m"), (~F.col("settled")).alias("on_cycle"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, max_edges: int) -> DataFrame:
-    """Simple paths from the unit's starts with up to ``max_edges`` edges, as node and road arrays."""
-    keys = ["unit", "src"] if "unit" in edges.columns else ["src"]
-    frontier = starts.select("unit", F.array("node").alias("nodes"), F.array().cast("array<bigint>").alias("roads"))
-    found = None
-    for _ in range(max_edges):
-        step = frontier.withColumn("src", F.element_at("nodes", -1)).join(edges, keys)
-        step = step.where(~F.array_contains("nodes", F.col("dst")))
-        frontier = cut(step.select("unit", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("roads", F.col("road_id")).alias("roads")))
-        found = frontier if found is None else found.unionAll(frontier)
-        if frontier.isEmpty():
-            break
-    return found
-
-
 def through_pairs(edges: DataFrame, seeds: DataFrame, terminals: DataFrame, through: DataFrame) -> DataFrame:
     """Pairs of a seed and the terminals it reaches through pass-through nodes only, found both ways.
 
