@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .ordered import sessionize, with_previous
 
 LEVELS = 40
@@ -61,7 +62,7 @@ def fragments(intervals: DataFrame, roads: DataFrame) -> DataFrame:
     marks = marks.unionAll(roads.where("length_mm > 0").select("road_id", F.explode(F.array(F.lit(0).cast("long"), F.col("length_mm"))).alias("at"))).distinct()
     steps = with_previous(marks, "road_id", ["at"], ["at"], CHUNK_MM).where("prev_at IS NOT NULL").select(
         "road_id", F.col("prev_at").alias("at"), F.col("at").alias("high"))
-    labelled = best_at(steps, inside)
+    labelled = cut(best_at(cut(steps), inside))  # the sweep below reads it several times
     changed = ~F.col("best").eqNullSafe(F.col("prev_best"))
     numbered = sessionize(labelled, "road_id", ["at"], changed, ["best"], CHUNK_MM)
     return numbered.groupBy("road_id", "part_no").agg(F.min("at").alias("low"), F.max("high").alias("high"), F.first("best").alias("best")).drop("part_no")

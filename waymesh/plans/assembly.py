@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import intervals as I
 from ..operators.matching import stable_matching
 from ..operators.search import best_paths, longest_chains
@@ -33,10 +34,10 @@ def assemble_corridors(pieces: DataFrame, axes: DataFrame, gap_mm: int, least_co
     """
     real = pieces.where("low < high")
     held = I.covered_length(real.select("unit", "low", "high"), ["unit"]).join(axes, "unit").withColumn("coverage", F.least(F.lit(1.0), F.col("covered_mm") / F.col("length_mm")))
-    enough = held.where((F.col("length_mm") > 0) & (F.col("coverage") + 1e-9 >= least_coverage)).select("unit", "coverage")
-    used = real.join(enough, "unit", "left_semi")
+    enough = cut(held.where((F.col("length_mm") > 0) & (F.col("coverage") + 1e-9 >= least_coverage)).select("unit", "coverage"))
+    used = cut(real.join(enough, "unit", "left_semi"))
     chain = longest_chains(corridor_links(used, gap_mm), used.select("unit", "piece", (F.col("high") - F.col("low")).alias("weight")))
-    members = chain.join(used.select("unit", "piece", "low", "high"), ["unit", "piece"])
+    members = cut(chain.join(used.select("unit", "piece", "low", "high"), ["unit", "piece"]))
     span = I.covered_length(members.select("unit", "low", "high"), ["unit"]).select("unit", "covered_mm", (F.col("high") - F.col("low")).alias("span_mm"))
     listed = members.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("chain_no", "low", "piece"))).alias("_p"))
     completion = 1 - F.col("covered_mm") / F.col("span_mm")
@@ -56,6 +57,7 @@ def target_fragments(candidates: DataFrame, roads: DataFrame, least_mm: int) ->
     parts = I.fragments(ranked, roads).where(F.col("best").isNotNull())
     # neighbours of one target but different scores are one fragment
     labelled = parts.select("road_id", F.col("low").alias("at"), "high", F.col("best.segment_id").alias("segment_id"), F.col("best.member_id").alias("member_id"), F.col("best.score").alias("score"))
+    labelled = cut(labelled)
     changed = (F.col("at") != F.col("prev_high")) | (F.col("segment_id") != F.col("prev_segment_id")) | (F.col("member_id") != F.col("prev_member_id"))
     runs = I.sessionize(labelled, "road_id", ["at"], changed, ["high", "segment_id", "member_id"], I.CHUNK_MM, "fragment_no")
     whole = runs.groupBy("road_id", "fragment_no", "segment_id", "member_id").agg(F.min("at").alias("low"), F.max("high").alias("high"), F.min("score").alias("score"))
@@ -69,8 +71,8 @@ def partial_members(members: DataFrame, evidence: DataFrame, full_coverage: floa
     most 20 m to an end is built too where the surface carries it; other gaps are ``retained_prefix`` and ``retained_suffix``. Members with enough or too little coverage, and
     those that would leave a part of less than 1 m, have no row.
     """
-    cut = evidence.join(members, "member_id").select("member_id", F.greatest("low", F.lit(0)).alias("low"), F.least("high", "length_mm").alias("high"))
-    held = I.covered_length(cut, ["member_id"]).join(members, "member_id").where(F.col("direction").isin(2, 3))
+    inside = evidence.join(members, "member_id").select("member_id", F.greatest("low", F.lit(0)).alias("low"), F.least("high", "length_mm").alias("high"))
+    held = I.covered_length(inside, ["member_id"]).join(members, "member_id").where(F.col("direction").isin(2, 3))
     share = F.col("covered_mm") / F.col("length_mm")
     held = held.where((share + 1e-9 >= F.least(F.lit(PARTIAL_COVERAGE), F.lit(full_coverage))) & (share + 1e-9 < full_coverage))
     before, behind = F.col("low"), F.col("length_mm") - F.col("high")
