@@ -1,4 +1,6 @@
 """Polyline functions over road lines; the SQL side works on exploded pieces and samples."""
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -111,6 +113,10 @@ def _(v):
     return samples.select("id", "i", rounded(F.col("p.x"), 4).alias("x"), rounded(F.col("p.y"), 4).alias("y"))
 
 
+def _nearest_by_pow(places):
+    return None if places is None else min((math.sqrt(math.pow(q.ex, 2) + math.pow(q.ey, 2)), q.measure) for q in places)
+
+
 @query("project_point_on_line", f"""SELECT id, round(d, 4) AS dist_m, round(measure, 4) AS measure_m FROM (SELECT id, d, measure,
     row_number() OVER (PARTITION BY id ORDER BY d, measure) AS rn FROM (SELECT id, {_SEG_DIST} AS d, start + len *
     greatest(0, least(1, CASE WHEN l2 > 0 THEN ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / l2 ELSE 0 END)) AS measure
@@ -118,8 +124,13 @@ def _(v):
     WHERE rn = 1""")
 def _(v):
     p = G.point(P()[0]["x"] + F.col("id") % 31 - 15, P()[0]["y"] + F.col("id") % 27 - 13)
-    return v.net_roads.select("id", G.project(p, P()).alias("n")).select(
-        "id", F.round("n.dist", 4).alias("dist_m"), F.round("n.measure", 4).alias("measure_m"))
+    placed = v.net_roads.select("id", G.projections(p, P()).alias("c")).select("id", "c", F.array_min("c").alias("n"))
+    n = F.col("n")
+    rivals = F.filter("c", lambda q: (q["dist"] <= n["dist"] * (1 + 1e-12)) & (F.abs(q["measure"] - n["measure"]) > 1e-6))
+    # the SQL engine squares by the C library's pow, whose last digit decides between places that are equally near
+    settled = placed.select("id", "n", F.when(F.size(rivals) > 0, F.col("c")).alias("tied")).select(
+        "id", "n", F.when(F.col("tied").isNotNull(), F.udf(_nearest_by_pow, "struct<dist:double,measure:double>")("tied")).alias("t"))
+    return settled.select("id", F.round(F.coalesce("t.dist", "n.dist"), 4).alias("dist_m"), F.round(F.coalesce("t.measure", "n.measure"), 4).alias("measure_m"))
 
 
 @query("max_sampled_distance", "SELECT id, round(max(d), 4) AS max_m FROM chord_distances GROUP BY id")
