@@ -13,6 +13,7 @@ from ..lineage import cut
 from .ordered import sessionize, with_previous
 
 LEVELS = 40
+MOST_IN_ROW = 64
 CHUNK_MM = 1_000_000.0
 
 
@@ -51,12 +52,59 @@ def best_at(places: DataFrame, intervals: DataFrame) -> DataFrame:
     return places.join(found, ["road_id", "at"], "left")
 
 
+def split_crowded(intervals: DataFrame, odd=None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Intervals of roads that fit in one row, those of roads that do not (None if there are none), and the ``road_id`` of the latter.
+
+    Roads with more than ``MOST_IN_ROW`` intervals are crowded, and those with an interval that ``odd`` marks.
+    """
+    sizes = intervals.groupBy("road_id").agg(F.count("*").alias("n"), F.bool_or(F.lit(False) if odd is None else odd).alias("odd"))
+    crowded = cut(sizes.where((F.col("n") > MOST_IN_ROW) | F.col("odd")).select("road_id"))
+    if crowded.isEmpty():
+        return intervals, None, crowded
+    return intervals.join(crowded, "road_id", "left_anti"), intervals.join(crowded, "road_id", "left_semi"), crowded
+
+
+def row_fragments(intervals: DataFrame, roads: DataFrame, same) -> DataFrame:
+    """``road_id, parts`` of roads with few intervals, each road in its own row; ``parts`` are ``low, high, best`` along the road.
+
+    Neighbours for whose labels ``same`` holds are one part and have their least label.
+    """
+    lists = intervals.groupBy("road_id").agg(F.collect_list(F.struct("low", "high", "rank")).alias("_i"))
+    clipped = F.transform("_i", lambda i: F.struct(F.greatest(i["low"], F.lit(0)).cast("long").alias("low"), F.least(i["high"], F.col("length_mm")).cast("long").alias("high"), i["rank"].alias("rank")))
+    rows = roads.join(lists, "road_id", "left").select("road_id", "length_mm", F.filter(clipped, lambda i: i["low"] < i["high"]).alias("_i"))
+    none = F.array().cast("array<bigint>")
+    ends = F.when(F.col("length_mm") > 0, F.array(F.lit(0).cast("long"), F.col("length_mm").cast("long"))).otherwise(none)
+    marks = F.array_sort(F.array_distinct(F.concat(F.coalesce(F.transform("_i", lambda i: i["low"]), none), F.coalesce(F.transform("_i", lambda i: i["high"]), none), ends)))
+    rows = rows.select("road_id", "_i", marks.alias("_m")).where(F.size("_m") > 1)
+    n = F.size("_m") - 1
+    steps = F.zip_with(F.slice("_m", F.lit(1), n), F.slice("_m", F.lit(2), n), lambda a, b: F.struct(a.alias("at"), b.alias("high"), F.array_min(
+        F.transform(F.filter("_i", lambda i: (i["low"] <= a) & (i["high"] >= b)), lambda i: i["rank"])).alias("best")))
+    rows = rows.select("road_id", steps.alias("_s"))
+    firsts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | ~same(F.get("_s", i)["best"], F.get("_s", i - 1)["best"]))
+    rows = rows.select("road_id", "_s", firsts.alias("_f"))
+
+    def part(i, k):
+        behind = F.coalesce(F.get("_f", k + 1), F.size("_s"))
+        return F.struct(F.get("_s", i)["at"].alias("low"), F.get("_s", behind - 1)["high"].alias("high"),
+                        F.array_min(F.transform(F.slice("_s", i + 1, behind - i), lambda s: s["best"])).alias("best"))
+
+    return rows.select("road_id", F.transform("_f", part).alias("parts"))
+
+
 def fragments(intervals: DataFrame, roads: DataFrame) -> DataFrame:
     """Every road cut where its best label changes: ``road_id, low, high, best``; fragments cover a road once, without gap or overlap.
 
     ``intervals`` holds ``road_id, low, high, rank`` (a struct that ends in the label; the least one wins), ``roads`` ``road_id, length_mm``.
-    Where no interval lies ``best`` is null. Borders of intervals are swept in chunks, so one long road spans many tasks.
+    Where no interval lies ``best`` is null. A road with few intervals is cut within its row; the others are swept.
     """
+    few, many, crowded = split_crowded(intervals)
+    plain = roads if many is None else roads.join(crowded, "road_id", "left_anti")
+    found = row_fragments(few, plain, lambda a, b: a.eqNullSafe(b)).select("road_id", F.inline("parts"))
+    return found if many is None else found.unionByName(swept_fragments(many, roads.join(crowded, "road_id", "left_semi")))
+
+
+def swept_fragments(intervals: DataFrame, roads: DataFrame) -> DataFrame:
+    """``fragments`` of roads with any number of intervals: borders are swept in chunks, so one long road spans many tasks."""
     inside = intervals.join(roads, "road_id").select("road_id", F.greatest("low", F.lit(0)).alias("low"), F.least("high", "length_mm").alias("high"), "rank")
     marks = inside.where("low < high").select("road_id", F.explode(F.array("low", "high")).alias("at"))
     marks = marks.unionAll(roads.where("length_mm > 0").select("road_id", F.explode(F.array(F.lit(0).cast("long"), F.col("length_mm"))).alias("at"))).distinct()
@@ -69,10 +117,24 @@ def fragments(intervals: DataFrame, roads: DataFrame) -> DataFrame:
 
 
 def covered_length(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, covered_mm, low, high``: the length of the union of each key's intervals (``low, high``) and its ends, swept by running counts."""
-    key = F.struct(*keys)
-    real = intervals.where("low < high").select(key.alias("road_id"), "low", "high")
-    rank = real.select("road_id", "low", "high", F.lit(1).alias("rank"))
-    ends = real.groupBy("road_id").agg(F.max("high").alias("length_mm"), F.min("low").alias("first"))
-    held = fragments(rank, ends.select("road_id", "length_mm")).where("best IS NOT NULL").groupBy("road_id").agg(F.sum(F.col("high") - F.col("low")).alias("covered_mm"))
-    return held.join(ends, "road_id").select("road_id.*", "covered_mm", F.col("first").alias("low"), F.col("length_mm").alias("high"))
+    """``keys, covered_mm, low, high``: the length of the union of each key's intervals (``low, high``), from 0 on, and its ends.
+
+    Few intervals are added up within a row, many are swept.
+    """
+    real = intervals.where("low < high").select(F.struct(*keys).alias("road_id"), "low", "high")
+    few, many, crowded = split_crowded(real)
+
+    def add(state, i):
+        reached = F.greatest(state["high"], i["high"].cast("long"))
+        return F.struct(reached.alias("high"), (state["mm"] + F.greatest(F.lit(0).cast("long"), i["high"] - F.greatest(i["low"], state["high"]))).alias("mm"))
+
+    zero = F.lit(0).cast("long")
+    mm = F.aggregate(F.array_sort("_i"), F.struct(zero.alias("high"), zero.alias("mm")), add)["mm"]
+    ends = F.max("high").alias("length_mm"), F.min("low").alias("first")
+    held = few.groupBy("road_id").agg(F.collect_list(F.struct("low", "high")).alias("_i"), *ends).select("road_id", mm.alias("covered_mm"), "length_mm", "first").where("covered_mm > 0")
+    if many is not None:
+        whole = many.groupBy("road_id").agg(*ends)
+        swept = swept_fragments(many.withColumn("rank", F.lit(1)), whole.select("road_id", "length_mm")).where("best IS NOT NULL").groupBy("road_id").agg(
+            F.sum(F.col("high") - F.col("low")).alias("covered_mm"))
+        held = held.unionByName(swept.join(whole, "road_id"))
+    return held.select("road_id.*", "covered_mm", F.col("first").alias("low"), F.col("length_mm").alias("high"))

@@ -54,14 +54,25 @@ def target_fragments(candidates: DataFrame, roads: DataFrame, least_mm: int) ->
     than ``least_mm`` are left out; fragments are numbered along the road.
     """
     ranked = candidates.select("road_id", "low", "high", F.struct("score", "segment_id", "member_id").alias("rank"))
-    parts = I.fragments(ranked, roads).where(F.col("best").isNotNull())
+    few, many, crowded = I.split_crowded(ranked, F.col("rank.segment_id").isNull() | F.col("rank.member_id").isNull())
+    plain = roads if many is None else roads.join(crowded, "road_id", "left_anti")
     # neighbours of one target but different scores are one fragment
+    cut_up = I.row_fragments(few, plain, lambda a, b: a["segment_id"].eqNullSafe(b["segment_id"]) & a["member_id"].eqNullSafe(b["member_id"]))
+    claimed = cut_up.select("road_id", F.posexplode(F.filter("parts", lambda p: p["best"].isNotNull())).alias("fragment_no", "p"))
+    whole = claimed.select("road_id", F.col("fragment_no").cast("long").alias("fragment_no"), "p.low", "p.high", "p.best.segment_id", "p.best.member_id", "p.best.score")
+    if many is not None:
+        whole = whole.unionByName(_swept_targets(many, roads.join(crowded, "road_id", "left_semi")))
+    return whole.where(F.col("high") - F.col("low") >= least_mm)
+
+
+def _swept_targets(ranked: DataFrame, roads: DataFrame) -> DataFrame:
+    """Fragments of roads that very many candidates claim, by sweeps over chunks of their borders."""
+    parts = I.swept_fragments(ranked, roads).where(F.col("best").isNotNull())
     labelled = parts.select("road_id", F.col("low").alias("at"), "high", F.col("best.segment_id").alias("segment_id"), F.col("best.member_id").alias("member_id"), F.col("best.score").alias("score"))
     labelled = cut(labelled)
     changed = (F.col("at") != F.col("prev_high")) | (F.col("segment_id") != F.col("prev_segment_id")) | (F.col("member_id") != F.col("prev_member_id"))
     runs = I.sessionize(labelled, "road_id", ["at"], changed, ["high", "segment_id", "member_id"], I.CHUNK_MM, "fragment_no")
-    whole = runs.groupBy("road_id", "fragment_no", "segment_id", "member_id").agg(F.min("at").alias("low"), F.max("high").alias("high"), F.min("score").alias("score"))
-    return whole.where(F.col("high") - F.col("low") >= least_mm).select("road_id", "fragment_no", "low", "high", "segment_id", "member_id", "score")
+    return runs.groupBy("road_id", "fragment_no", "segment_id", "member_id").agg(F.min("at").alias("low"), F.max("high").alias("high"), F.min("score").alias("score"))
 
 
 def partial_members(members: DataFrame, evidence: DataFrame, full_coverage: float) -> DataFrame:
