@@ -1,23 +1,27 @@
 """Surfaces as grid cells: connected masks, holes and forbidden ground."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .graph import unit_components
 
 
 def _components(cells: DataFrame) -> DataFrame:
-    """Component of every cell (four neighbours) per unit."""
-    here = cells.select("unit", F.struct("cx", "cy").alias("cell"))
-    ways = F.explode(F.array(F.struct((F.col("cell.cx") + 1).alias("cx"), F.col("cell.cy").alias("cy")),
-                             F.struct(F.col("cell.cx").alias("cx"), (F.col("cell.cy") + 1).alias("cy"))))
-    links = here.select("unit", F.col("cell").alias("src"), ways.alias("dst")).join(
-        here.select("unit", F.col("cell").alias("dst")), ["unit", "dst"])
-    # every cell also meets itself, so single cells keep a component
-    comp = unit_components(links.select("unit", "src", "dst"))
-    return here.join(comp.withColumnRenamed("node", "cell"), ["unit", "cell"], "left").select(
-        "unit", "cell.cx", "cell.cy", F.coalesce("component", "cell").alias("component"))
+    """Component of every cell (four neighbours) per unit; ``cells`` are distinct.
+
+    Cells that follow each other in a column are one run, named by its first cell, so the rounds see runs instead of cells.
+    """
+    column = Window.partitionBy("unit", "cx").orderBy("cy")
+    first = F.when(F.coalesce(F.col("cy") - F.lag("cy").over(column) != 1, F.lit(True)), F.col("cy"))
+    marked = cells.select("unit", "cx", "cy", first.alias("_first"))
+    runs = cut(marked.select("unit", "cx", "cy", F.struct("cx", F.last("_first", True).over(column).alias("cy")).alias("run")))
+    beside = runs.select("unit", (F.col("cx") - 1).alias("cx"), "cy", F.col("run").alias("dst"))
+    links = runs.select("unit", "cx", "cy", F.col("run").alias("src")).join(beside, ["unit", "cx", "cy"]).select("unit", "src", "dst").distinct()
+    comp = unit_components(links)
+    return runs.join(comp.withColumnRenamed("node", "run"), ["unit", "run"], "left").select(
+        "unit", "cx", "cy", F.coalesce("component", "run").alias("component"))
 
 
 def assemble_surface(allowed: DataFrame, seeds: DataFrame, forbidden: DataFrame) -> DataFrame:
