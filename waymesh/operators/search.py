@@ -126,13 +126,61 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done
 
 
+MOST_IN_ROW = 64
+
+
 def longest_chains(edges: DataFrame, pieces: DataFrame) -> DataFrame:
     """Members of the heaviest chain of every unit, ``unit, piece, chain_no, weight``, from its first component on (0).
 
     ``pieces`` holds ``unit, piece, weight``, ``edges`` ``unit, src, dst`` between pieces. Pieces that lead to each other are one component, which
     weighs as much as all its pieces; the chain is the heaviest path over the components. Of equal chains the one with the smaller last component counts, then
-    the smaller one before it, and so on.
+    the smaller one before it, and so on. A unit of few pieces is solved in its row, larger ones in rounds.
     """
+    crowded = cut(pieces.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_ROW).select("unit"))
+    if crowded.isEmpty():
+        return _row_chains(edges, pieces)
+    found = _row_chains(edges.join(crowded, "unit", "left_anti"), pieces.join(crowded, "unit", "left_anti"))
+    return found.unionByName(_chains_in_rounds(edges.join(crowded, "unit", "left_semi"), pieces.join(crowded, "unit", "left_semi")))
+
+
+def _row_chains(edges: DataFrame, pieces: DataFrame) -> DataFrame:
+    lists = pieces.groupBy("unit").agg(F.collect_list(F.struct("piece", F.col("weight").cast("double").alias("weight"))).alias("_p"))
+    arcs = edges.groupBy("unit").agg(F.collect_list(F.struct("src", "dst")).alias("_a"))
+    chain = F.udf(_heaviest_chain, f"array<struct<piece:{pieces.schema['piece'].dataType.simpleString()},chain_no:int,weight:double>>")
+    return lists.join(arcs, "unit", "left").select("unit", F.inline(chain("_p", "_a")))
+
+
+def _heaviest_chain(pieces, arcs):
+    """The chain of one unit: components from who reaches whom (bits), totals in the order of their ancestors."""
+    pieces = sorted(pieces)
+    place = {p.piece: i for i, p in enumerate(pieces)}
+    n = len(pieces)
+    reach = [1 << i for i in range(n)]
+    ways = [(place[a.src], place[a.dst]) for a in arcs or () if a.src in place and a.dst in place]
+    for i, j in ways:
+        reach[i] |= 1 << j
+    for k in range(n):
+        for i in range(n):
+            if reach[i] >> k & 1:
+                reach[i] |= reach[k]
+    part = [next(j for j in range(n) if reach[i] >> j & 1 and reach[j] >> i & 1) for i in range(n)]
+    weight = dict.fromkeys(part, 0.0)
+    for i, p in enumerate(pieces):
+        weight[part[i]] += p.weight
+    before = {c: {part[i] for i, j in ways if part[j] == c and part[i] != c} for c in weight}
+    best = {}
+    for c in sorted(weight, key=lambda c: sum(reach[d] >> c & 1 for d in weight)):
+        loss, last = min(((-best[b][0], b) for b in before[c]), default=(0.0, None))
+        best[c] = (weight[c] - loss, last) if loss < 0 else (weight[c], None)
+    chain = [min(best, key=lambda c: (-best[c][0], c))]
+    while best[chain[-1]][1] is not None:
+        chain.append(best[chain[-1]][1])
+    number = {c: k for k, c in enumerate(reversed(chain))}
+    return [(p.piece, number[part[i]], p.weight) for i, p in enumerate(pieces) if part[i] in number]
+
+
+def _chains_in_rounds(edges: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``longest_chains`` of units of any size, by rounds of joins."""
     key = F.struct("unit", F.col("piece").alias("piece"))
     nodes = pieces.select(key.alias("node"))
     arcs = edges.select(F.struct("unit", F.col("src").alias("piece")).alias("src"), F.struct("unit", F.col("dst").alias("piece")).alias("dst"))
