@@ -121,7 +121,7 @@ def _(v):
 @query("nearest_join", """SELECT p_id, line_id, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY dist, line_id) AS rn
     FROM node_link_dist WHERE dist <= 40) WHERE rn = 1""")
 def _(v):
-    return SP.nearest_line(node_points(v), link_lines(v), 40.0).select("p_id", "line_id", F.round("dist", 4).alias("dist"))
+    return SP.nearest_line(node_points(v), v.spread(link_lines(v), "line_id"), 40.0).select("p_id", "line_id", F.round("dist", 4).alias("dist"))
 
 
 @query("lane_owner_candidates")

@@ -15,18 +15,22 @@ def lane_samples(lanes: DataFrame, spacing: float) -> DataFrame:
     return rows.select("lane_id", "lane_deg", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
-def sample_piece_pairs(samples: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
-    """Each sample with the nearest piece of every line within ``limit``: distance, side and piece direction."""
+def sample_piece_pairs(samples: DataFrame, lines: DataFrame, limit: float, *of_line: str) -> DataFrame:
+    """Each sample with the nearest piece of every line within ``limit``: distance, side and piece direction.
+
+    A sample and all pieces near it meet in one cell, so the nearest is taken there without a further shuffle.
+    ``of_line`` names columns of ``lines`` that come along; they have one value per line.
+    """
     cell = max(2 * limit, MIN_CELL_M)
-    cells = line_cells(lines.select("line_id", "pts"), cell, limit).select("line_id", "p", "cx", "cy")
+    cells = line_cells(lines.select("line_id", "pts", *of_line), cell, limit).select("line_id", "p", "cx", "cy", *of_line)
     pairs = salted_cell_join(with_cell(samples, "x", "y", cell), cells, "line_id")
     p = F.col("p")
     cross = (p["x1"] - p["x0"]) * (F.col("y") - p["y0"]) - (p["y1"] - p["y0"]) * (F.col("x") - p["x0"])
     heading = G.bearing(F.struct(p["x0"].alias("x"), p["y0"].alias("y")), F.struct(p["x1"].alias("x"), p["y1"].alias("y")))
     found = pairs.withColumns({"dist": piece_distance(F.col("x"), F.col("y"), p), "cross": cross, "line_deg": heading})
     near = found.where(F.col("dist") <= limit)
-    return near.groupBy("lane_id", "i", "line_id").agg(
-        F.min(F.struct("dist", "line_deg", "cross", "lane_deg")).alias("b")).select("lane_id", "i", "line_id", "b.*")
+    return near.groupBy("cx", "cy", "salt", "lane_id", "i", "line_id").agg(
+        F.min(F.struct("dist", "line_deg", "cross", "lane_deg", *of_line)).alias("b")).select("lane_id", "i", "line_id", "b.*")
 
 
 def direction_delta(lane_deg: Column, road_deg: Column, direction: Column) -> Column:
@@ -38,7 +42,7 @@ def direction_delta(lane_deg: Column, road_deg: Column, direction: Column) -> Co
 
 def owner_candidates(samples: DataFrame, roads: DataFrame, limit: float) -> DataFrame:
     """Score of every road near a lane: median distance + 0.25 · p90 + 0.10 · median direction difference."""
-    pairs = sample_piece_pairs(samples, roads, limit).join(roads.select("line_id", "direction"), "line_id")
+    pairs = sample_piece_pairs(samples, roads, limit, "direction")
     delta = direction_delta(F.col("lane_deg"), F.col("line_deg"), F.col("direction"))
     grouped = pairs.withColumn("delta", delta).groupBy("lane_id", "line_id").agg(
         F.percentile("dist", 0.5).alias("p50"), F.percentile("dist", 0.9).alias("p90"),

@@ -19,18 +19,19 @@ def with_cell(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
 
 
 def salted_cell_join(left: DataFrame, right: DataFrame, salt_key: str, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
-    """Inner join on (cx, cy); the right side of a crowded cell is spread over several salts.
+    """Inner join on (cx, cy, salt); the right side of a crowded cell is spread over several salts.
 
-    Cell sizes are counted with a partial aggregate first. They prune left rows of empty cells and
-    tell into how many shares a crowded cell is cut; the few left rows there are repeated per share.
+    Cell sizes are counted with a partial aggregate first. Only the crowded cells, at most one per ``hot_rows`` rows, are
+    sent to all tasks, so either side is shuffled once; the few left rows there are repeated per share. ``salt`` stays:
+    what is grouped by (cx, cy, salt) and more is not shuffled again.
     """
     sizes = right.groupBy("cx", "cy").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("shares"))
-    crowded = sizes.where(F.col("shares") > 1)
-    probe = (left.join(sizes, ["cx", "cy"])
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"))
+    crowded = F.broadcast(sizes.where(F.col("shares") > 1))
+    probe = (left.join(crowded, ["cx", "cy"], "left")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares"))
     spread = (right.join(crowded, ["cx", "cy"], "left")
               .withColumn("salt", F.pmod(F.xxhash64(salt_key), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares"))
-    return probe.join(spread, ["cx", "cy", "salt"]).drop("salt")
+    return probe.join(spread, ["cx", "cy", "salt"])
 
 
 def neighbour_cells(df: DataFrame) -> DataFrame:
@@ -74,16 +75,16 @@ def piece_distance(x: Column, y: Column, p: Column) -> Column:
 def points_near_lines(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
     """Distance of every point to every line within ``limit``.
 
-    ``points`` holds ``p_id, x, y``; ``lines`` holds ``line_id, pts`` and what else is wanted. The
-    pieces of a line are put into the cells around them, a point looks into its own cell only. Cells
-    are never smaller than a usual piece, so a piece meets few of them.
+    ``points`` holds ``p_id, x, y``, one place per ``p_id``; ``lines`` holds ``line_id, pts``. The
+    pieces of a line are put into the cells around them, a point looks into its own cell only, so all that
+    it meets of a line lies in one task. Cells are never smaller than a usual piece, so a piece meets few of them.
     """
     cell = max(2 * limit, MIN_CELL_M)
     cells = line_cells(lines.select("line_id", "pts"), cell, limit).select("line_id", "p", "cx", "cy")
     probe = with_cell(points.select("p_id", "x", "y"), "x", "y", cell)
     pairs = salted_cell_join(probe, cells, "line_id").withColumn(
         "dist", piece_distance(F.col("x"), F.col("y"), F.col("p"))).where(F.col("dist") <= limit)
-    return pairs.groupBy("p_id", "line_id").agg(F.min("dist").alias("dist"))
+    return pairs.groupBy("cx", "cy", "salt", "p_id", "line_id").agg(F.min("dist").alias("dist")).select("p_id", "line_id", "dist")
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
