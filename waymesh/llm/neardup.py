@@ -226,8 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = saved(_named(rest, labels).where("component <> of_b").select(F.col("doc_id").alias("a"), "b"), "rest")
     discard(star)
     if not rest.isEmpty():
-        links = links.unionAll(_verify(_surviving(rest, sigs), docs, repeated))
-        labels = _labels(links)
+        labels = _joined(labels, _verify(_surviving(rest, sigs), docs, repeated))
     discard(rest)
     families = _families(crowd, labels)
     discard(crowd)
@@ -235,14 +234,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # most minority members join their nearest neighbour's component; what is still apart is verified pair by pair
         nearest = _blocks(_open(families, labels).join(sigs, "doc_id"), _nearest, "a long, b long, same long")
         nearest = saved(nearest.groupBy("a").agg(F.max_by("b", F.struct("same", F.col("b"))).alias("b")), "nearest")
-        links = links.unionAll(_verify(nearest, docs, repeated))  # which drops ``nearest``
-        labels = _labels(links)
+        labels = _joined(labels, _verify(nearest, docs, repeated))  # which drops ``nearest``
         apart = saved(_open(families, labels), "apart")
         sets = _sets_of(apart.select("doc_id"), docs, repeated)
-        links = links.unionAll(saved(_blocks(apart.join(sigs, "doc_id").join(sets, "doc_id"), _exact_links, "a long, b long"), "links"))
+        links = saved(_blocks(apart.join(sigs, "doc_id").join(sets, "doc_id"), _exact_links, "a long, b long"), "links")
         discard(sets)
         discard(apart)
-        labels = _labels(links)
+        labels = _joined(labels, links)
     named = member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", F.coalesce("component", "class_id").alias("component_id"))
     out = marks.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -256,6 +254,23 @@ def _labels(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only components that these join go through rounds, under their names."""
+    ends = _named(links.withColumnRenamed("a", "doc_id"), labels).select(F.col("component").alias("src"), F.col("b").alias("doc_id"))
+    edges = saved(_named(ends, labels).where("src <> component").select("src", F.col("component").alias("dst")).distinct(), "edges")
+    discard(links)
+    if edges.isEmpty():
+        return labels
+    names = saved(connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("name")), "names")
+    fresh = names.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("name").alias("component"))
+    new = labels.join(names, "component", "left").select("node", F.coalesce("name", "component").alias("component"))
+    out = saved(new.unionAll(fresh), "labels")
+    for old in (labels, edges, names):
+        discard(old)
+    sweep(edges.sparkSession)
+    return out
+
+
 def _families(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, family``: documents that are connected through buckets of three or more with several components."""
     named = _named(crowd.where(F.col("size") > 2), labels)
