@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import greedy_select
+from ..lineage import cut
+from .graph import MOST_IN_ROW, greedy_select
 
 
 def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +131,29 @@ def exclusive_assignment(pairs: DataFrame) -> DataFrame:
 
 
 def greedy_assignment(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs per ``unit``, highest score first, by rounds of joins at every size."""
+    """One-to-one pairs per ``unit``, highest score first, then the smaller ids.
+
+    Units of at most ``MOST_IN_ROW`` pairs are settled in their own row, larger ones by rounds of joins.
+    """
+    keyed = pairs.select("unit", "left", "right", "score", F.struct("unit").alias("_k"))
+    crowded = cut(keyed.groupBy("_k").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_ROW).select("_k"))
+    if crowded.isEmpty():
+        return _row_greedy(keyed)
+    return _row_greedy(keyed.join(crowded, "_k", "left_anti")).unionAll(_round_greedy(keyed.join(crowded, "_k", "left_semi")))
+
+
+def _row_greedy(pairs: DataFrame) -> DataFrame:
+    ranked = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("o"), "left", "right")))
+
+    def add(kept, p):
+        return F.when(F.exists(kept, lambda k: k["left"].eqNullSafe(p["left"]) | k["right"].eqNullSafe(p["right"])), kept).otherwise(F.concat(kept, F.array(p)))
+
+    lists = pairs.groupBy("unit").agg(ranked.alias("_p"))
+    kept = lists.select("unit", F.explode(F.aggregate("_p", F.array().cast(lists.schema["_p"].dataType), add)).alias("k"))
+    return kept.select("unit", "k.left", "k.right", (-F.col("k.o")).alias("score"))
+
+
+def _round_greedy(pairs: DataFrame) -> DataFrame:
     rows = pairs.select(F.struct("unit", "left", "right").alias("owner"), "unit", "left", "right", "score")
     members = rows.select("owner", F.explode(F.array(
         F.struct("unit", F.lit("l").alias("side"), F.col("left").alias("id")),
