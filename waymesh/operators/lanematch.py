@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .spatial import MIN_CELL_M, line_cells, piece_distance, salted_cell_join, with_cell
+from .spatial import MIN_CELL_M, line_cells, salted_cell_join, with_cell
 
 
 def lane_samples(lanes: DataFrame, spacing: float) -> DataFrame:
@@ -27,7 +27,7 @@ def sample_piece_pairs(samples: DataFrame, lines: DataFrame, limit: float, *of_l
     p = F.col("p")
     cross = (p["x1"] - p["x0"]) * (F.col("y") - p["y0"]) - (p["y1"] - p["y0"]) * (F.col("x") - p["x0"])
     heading = G.bearing(F.struct(p["x0"].alias("x"), p["y0"].alias("y")), F.struct(p["x1"].alias("x"), p["y1"].alias("y")))
-    found = pairs.withColumns({"dist": piece_distance(F.col("x"), F.col("y"), p), "cross": cross, "line_deg": heading})
+    found = pairs.withColumns({"dist": G.point_piece_distance(F.col("x"), F.col("y"), p), "cross": cross, "line_deg": heading})
     near = found.where(F.col("dist") <= limit)
     return near.groupBy("cx", "cy", "salt", "lane_id", "i", "line_id").agg(
         F.min(F.struct("dist", "line_deg", "cross", "lane_deg", *of_line)).alias("b")).select("lane_id", "i", "line_id", "b.*")

@@ -63,13 +63,19 @@ def line_cells(lines: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     return piece.select("*", F.explode(boxes).alias("c")).select("*", "c.cx", "c.cy").drop("c")
 
 
-def piece_distance(x: Column, y: Column, p: Column) -> Column:
-    """Distance of a point to a straight piece."""
-    dx, dy = p["x1"] - p["x0"], p["y1"] - p["y0"]
-    share = F.when(p["len"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
-        (x - p["x0"]) * dx + (y - p["y0"]) * dy) / (p["len"] * p["len"])))).otherwise(0.0)
-    ex, ey = x - p["x0"] - share * dx, y - p["y0"] - share * dy
-    return F.sqrt(ex * ex + ey * ey)
+def flat_pieces(pieces: DataFrame, column: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The pieces in ``column`` as columns of their own that are never null, and the columns by field.
+
+    A piece that misses a coordinate of one end is the point at its other end; one without a whole end is left out.
+    """
+    p = F.col(column)
+    start, end = [F.when(p[x].isNotNull() & p[y].isNotNull(), F.struct(p[x].alias("x"), p[y].alias("y"))) for x, y in (("x0", "y0"), ("x1", "y1"))]
+    flat = pieces.withColumns({"_a": F.coalesce(start, end), "_b": F.coalesce(end, start), "_len": F.coalesce(p["len"], F.lit(0.0))}).drop(column)
+    names = {field: f"{column}_{field}" for field in ("x0", "y0", "x1", "y1", "len")}
+    flat = flat.withColumns(dict(zip(names.values(), (F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y"), F.col("_len"))))).drop("_a", "_b", "_len")
+    for name in names.values():
+        flat = flat.where(F.col(name).isNotNull())
+    return flat, {field: F.col(name) for field, name in names.items()}
 
 
 def points_near_lines(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
@@ -83,7 +89,7 @@ def points_near_lines(points: DataFrame, lines: DataFrame, limit: float) -> Data
     cells = line_cells(lines.select("line_id", "pts"), cell, limit).select("line_id", "p", "cx", "cy")
     probe = with_cell(points.select("p_id", "x", "y"), "x", "y", cell)
     pairs = salted_cell_join(probe, cells, "line_id").withColumn(
-        "dist", piece_distance(F.col("x"), F.col("y"), F.col("p"))).where(F.col("dist") <= limit)
+        "dist", G.point_piece_distance(F.col("x"), F.col("y"), F.col("p"))).where(F.col("dist") <= limit)
     return pairs.groupBy("cx", "cy", "salt", "p_id", "line_id").agg(F.min("dist").alias("dist")).select("p_id", "line_id", "dist")
 
 
