@@ -27,3 +27,28 @@ def test_pieces_within_a_limit_are_those_whose_gap_is_at_most_that(spark):
         assert got == wanted and got
     found = {tuple(r) for r in C.segment_slice(a, b, 13.0).collect()}
     assert found == wanted
+
+
+def edge_frame(spark, rows):
+    return spark.createDataFrame(rows, "unit long, src long, dst long, road_id long, length_m double, level int")
+
+
+def test_small_units_are_relaxed_without_rounds(spark, monkeypatch):
+    from waymesh.operators import search as S
+    rng = random.Random(5)
+    rows = [(u, rng.randrange(7), rng.randrange(7), None if i % 5 == 4 else 100 * u + i, float(rng.randrange(1, 9)), rng.randrange(3)) for u in range(12) for i in range(12)]
+    edges, pairs = edge_frame(spark, rows), spark.createDataFrame([(u, 0, 6) for u in range(14)] + [(20, 3, 3)], "unit long, a long, b long")
+    slow = sorted(map(tuple, S._relaxation_in_rounds(edges, pairs, 3)[0].collect()), key=str)
+
+    def no_rounds(*_):
+        raise AssertionError("a unit of few edges went through rounds")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "shortest_distances", no_rounds)
+        fast, ways = S.least_relaxation(edges, pairs, 3)
+        assert sorted(map(tuple, fast.collect()), key=str) == slow and ways.count() > 10
+    m = 200
+    crowded = edges.unionAll(edge_frame(spark, [(m, i % 7, (i + 1) % 7, i, 1.0, i % 7 % 2) for i in range(70)]))
+    both, _ = S.least_relaxation(crowded, pairs.unionAll(spark.createDataFrame([(m, 0, 6)], pairs.schema)), 3)
+    assert both.where(f"unit = {m}").select("level", "length_m").collect() == [(1, 6.0)]
+    assert sorted(map(tuple, both.where(f"unit != {m}").collect()), key=str) == slow

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from .graph import shortest_distances, trace_back
+from .smallgraphs import least_level
 
 WORD_BITS = 63
 
@@ -42,7 +43,29 @@ def least_relaxation(edges: DataFrame, pairs: DataFrame, levels: int) -> tuple[D
     ``edges`` holds ``unit, src, dst, road_id, length_m, level`` (0 to ``levels`` - 1), ``pairs`` one ``unit, a, b`` per unit. The graph is searched in
     layers: a state is a node with the highest level used so far, so the shortest way of every level is kept beside that of the others. Returns
     ``unit, a, b, level, length_m`` (null where nothing reaches) and the ways, ``unit, road_id, from_target``.
+    Units of at most ``MOST_IN_ROW`` edges are solved in their own row; only larger ones, and those with a missing or endless length, go through rounds.
     """
+    odd = F.col("length_m").isNull() | F.isnan(F.col("length_m").cast("double")) | F.col("src").isNull() | F.col("dst").isNull() | (F.col("length_m") < 0)
+    sizes = edges.groupBy("unit").agg(F.count("*").alias("n"), F.bool_or(odd).alias("odd"))
+    crowded = cut(sizes.where((F.col("n") > MOST_IN_ROW) | F.col("odd")).select("unit"))
+    if crowded.isEmpty():
+        return _row_relaxation(edges, pairs, levels)
+    outcome, ways = _relaxation_in_rounds(edges.join(crowded, "unit", "left_semi"), pairs.join(crowded, "unit", "left_semi"), levels)
+    few, few_ways = _row_relaxation(edges.join(crowded, "unit", "left_anti"), pairs.join(crowded, "unit", "left_anti"), levels)
+    return few.unionAll(outcome), few_ways.unionAll(ways)
+
+
+def _row_relaxation(edges: DataFrame, pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    lists = edges.groupBy("unit").agg(F.collect_list(F.struct("src", "dst", "road_id", F.col("length_m").cast("double").alias("length_m"), "level")).alias("_e"))
+    road = edges.schema["road_id"].dataType.simpleString()
+    search = F.udf(lambda e, a, b: least_level(e, a, b, levels), f"level:int,length_m:double,way:array<struct<road_id:{road},from_target:int>>")
+    known = F.col("unit").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull()
+    found = cut(pairs.select("unit", "a", "b").join(lists, "unit", "left").withColumn("_w", F.when(known, search("_e", "a", "b"))).drop("_e"))
+    return (found.select("unit", "a", "b", F.col("_w.level").alias("level"), F.col("_w.length_m").alias("length_m")),
+            found.select("unit", F.inline("_w.way")))
+
+
+def _relaxation_in_rounds(edges: DataFrame, pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     layer = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("layer")
     layered = edges.select("*", layer).select(
         "unit", F.struct(F.col("src").alias("node"), "layer").alias("src"), F.struct(F.col("dst").alias("node"), F.greatest("layer", "level").cast("int").alias("layer")).alias("dst"),
