@@ -52,3 +52,25 @@ def test_small_units_are_relaxed_without_rounds(spark, monkeypatch):
     both, _ = S.least_relaxation(crowded, pairs.unionAll(spark.createDataFrame([(m, 0, 6)], pairs.schema)), 3)
     assert both.where(f"unit = {m}").select("level", "length_m").collect() == [(1, 6.0)]
     assert sorted(map(tuple, both.where(f"unit != {m}").collect()), key=str) == slow
+
+
+def test_small_components_are_staged_without_rounds(spark, monkeypatch):
+    from waymesh.operators import graph as GR
+    from waymesh.plans import segment as SG
+    roads = [(1, 2, 10, 1), (2, 3, 11, 1), (3, 4, 12, 1), (1, 3, 13, 9), (101, 102, 20, 2), (102, 103, 21, 2), (201, 202, 21, 1), (202, 203, 30, 1)]
+    edges = GR.both_ways(spark.createDataFrame(roads, "src long, dst long, road_id long, length_m long"))
+
+    def nodes(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "node long")
+
+    stages = [("4", nodes(1, 4, 101, 103), nodes(2, 3, 102)), ("5A", nodes(1, 3, 202, 203, 999), nodes(2))]
+    want = [(10, "1-4", "4"), (11, "1-4", "4"), (12, "1-4", "4"), (13, "1-3", "5A"), (20, "101-103", "4"), (21, "101-103", "4"), (30, "202-203", "5A")]
+
+    def no_rounds(*_):
+        raise AssertionError("a component of few edges went through rounds")
+
+    with monkeypatch.context() as m:
+        m.setattr(SG, "through_pairs", no_rounds)
+        assert sorted(map(tuple, SG.staged_rounds(edges, stages).collect())) == want
+    monkeypatch.setattr(SG, "MOST_IN_ROW", 6)  # the first component goes through rounds now
+    assert sorted(map(tuple, SG.staged_rounds(edges.where("road_id < 20 OR road_id = 30"), stages).collect())) == want[:4] + want[-1:]

@@ -8,8 +8,9 @@ from ..functions.geometry import max_sampled_distance, vertex_turns
 from ..functions.scalar import digest_id, is_inbound, is_outbound
 from ..lineage import cut
 from ..operators.angles import straightest
-from ..operators.graph import (conflict_components, connected_components, distances_through, follow_chain, greedy_select, prune_leaves, reachable,
+from ..operators.graph import (MOST_IN_ROW, conflict_components, connected_components, distances_through, follow_chain, greedy_select, prune_leaves, reachable,
                                shortest_distances, through_pairs, trace_back, unit_components)
+from ..operators.smallgraphs import staged_roads
 
 
 def segment_summary(roads: DataFrame) -> DataFrame:
@@ -164,7 +165,44 @@ def staged_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataFrame
 
     A stage is ``(name, seeds, through)``. Roads on the shortest way between the ends of a found pair are
     assigned to it; a road wanted by several pairs goes to the smallest.
+    Components of at most ``MOST_IN_ROW`` edges are solved in their own row; only larger ones, and those with a missing or negative length, go through rounds.
     """
+    length = F.col("length_m").cast("double")
+    odd = length.isNull() | F.isnan(length) | (length < 0) | F.col("src").isNull() | F.col("dst").isNull() | F.col("road_id").isNull()
+    # a road in several places ties them: where it is assigned, it is taken from all
+    first = edges.groupBy("road_id").agg(F.min("src").alias("dst"))
+    links = edges.select("src", "dst").unionAll(edges.select("road_id", "src").join(first, "road_id").select("src", "dst"))
+    comp = cut(connected_components(links))
+    held = edges.join(comp.withColumnRenamed("node", "src"), "src", "left")
+    sizes = held.groupBy("component").agg(F.count("*").alias("n"), F.bool_or(odd).alias("odd"))
+    few = cut(sizes.where((F.col("n") <= MOST_IN_ROW) & ~F.col("odd") & F.col("component").isNotNull()).select("component"))
+    assigned = _staged_in_rows(held.join(few, "component", "left_semi"), comp.join(few, "component", "left_semi"), stages)
+    many = cut(held.join(few, "component", "left_anti").select(*edges.columns))
+    if many.isEmpty():
+        return assigned
+    here = many.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return assigned.unionAll(_staged_in_rounds(many, [(name, seeds.join(here, "node", "left_semi"), through) for name, seeds, through in stages]))
+
+
+def _staged_in_rows(edges: DataFrame, comp: DataFrame, stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """``staged_rounds`` of components with few edges."""
+    marks = None
+    for number, (_, seeds, through) in enumerate(stages):
+        stage = F.lit(number).alias("stage")
+        part = seeds.select("node", stage, F.lit(True).alias("seed"), F.lit(False).alias("through")).unionAll(
+            through.select("node", stage, F.lit(False).alias("seed"), F.lit(True).alias("through")))
+        marks = part if marks is None else marks.unionAll(part)
+    roads = edges.groupBy("component").agg(F.collect_list(F.struct("src", "dst", "road_id", "length_m")).alias("_e"))
+    nodes = comp.join(marks, "node").groupBy("component").agg(F.collect_set(F.struct("node", "stage", "seed", "through")).alias("_m"))
+    road, node = (edges.schema[c].dataType.simpleString() for c in ("road_id", "src"))
+    count = len(stages)
+    solve = F.udf(lambda e, m: staged_roads(e, m, count), f"array<struct<road_id:{road},a:{node},b:{node},stage:int>>")
+    names = F.array(*[F.lit(name) for name, _, _ in stages])
+    return cut(roads.join(nodes, "component").select(F.inline(solve("_e", "_m"))).select(
+        "road_id", F.concat_ws("-", "a", "b").alias("segment_id"), F.get(names, F.col("stage")).alias("stage")))
+
+
+def _staged_in_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     left, assigned = edges, None
     for name, seeds, through in stages:
         pairs = cut(through_pairs(left, seeds, seeds, through))
