@@ -74,3 +74,29 @@ def test_small_components_are_staged_without_rounds(spark, monkeypatch):
         assert sorted(map(tuple, SG.staged_rounds(edges, stages).collect())) == want
     monkeypatch.setattr(SG, "MOST_IN_ROW", 6)  # the first component goes through rounds now
     assert sorted(map(tuple, SG.staged_rounds(edges.where("road_id < 20 OR road_id = 30"), stages).collect())) == want[:4] + want[-1:]
+
+
+def test_straightest_in_a_crowded_sector_goes_through_no_frame_anew(spark):
+    from waymesh.operators.angles import straightest
+    rng = random.Random(6)
+    heads = [(1, i, rng.randrange(3600) / 10) for i in range(40)] + [(2, i, 5 + i % 90 / 10) for i in range(120)]
+    outs = [(1, i, rng.randrange(3600) / 10) for i in range(9)] + [(2, i, 5 + i % 70 / 7) for i in range(150)]
+    made = straightest(spark.createDataFrame(heads, "junction_id long, in_id long, heading double"), spark.createDataFrame(outs, "junction_id long, out_id long, angle double"), ["junction_id"])
+    got = {(r.junction_id, r.in_id): round(r.turn_deg, 6) for r in made.collect()}
+    turn = lambda a, b: min(abs(a - b) % 360, 360 - abs(a - b) % 360)
+    assert got == {(j, i): round(min(turn(h, a) for k, _, a in outs if k == j), 6) for j, i, h in heads}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, currentrow$(), unboundedfollowing$()" not in plan and "RangeFrame, unboundedpreceding$(), currentrow$()" in plan
+
+
+def test_ancestors_are_joined_to_owners_not_to_links(spark):
+    from waymesh.plans import lanes as L
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (4, 9), (5, 1)], "from_lane long, to_lane long")
+    owner = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 12), (5, 77)], "lane_id long, road_id long")
+    pairs = spark.createDataFrame([(10, 11), (5, 6)], "from_road long, to_road long")
+    lineage = spark.createDataFrame([(10, 5), (11, 5), (12, 6)], "road_id long, parent_id long")
+    made = L.lane_links_on_roads(links, owner, pairs, lineage)
+    assert {(r.from_lane, r.to_lane): r.state for r in made.collect()} == {
+        (1, 2): "direct", (1, 3): "by_lineage", (2, 3): "by_lineage", (3, 4): "same_road", (4, 9): "lane_without_road", (5, 1): "unsupported"}
+    joins = [x for x in made._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 5 + 1 and not any("(from_road#" in x and "to_road#" not in x for x in joins)
