@@ -82,8 +82,9 @@ def partial_members(members: DataFrame, evidence: DataFrame, full_coverage: floa
     most 20 m to an end is built too where the surface carries it; other gaps are ``retained_prefix`` and ``retained_suffix``. Members with enough or too little coverage, and
     those that would leave a part of less than 1 m, have no row.
     """
+    members = members.where(F.col("direction").isin(2, 3))
     inside = evidence.join(members, "member_id").select("member_id", F.greatest("low", F.lit(0)).alias("low"), F.least("high", "length_mm").alias("high"))
-    held = I.covered_length(inside, ["member_id"]).join(members, "member_id").where(F.col("direction").isin(2, 3))
+    held = I.covered_length(inside, ["member_id"]).join(members, "member_id")
     share = F.col("covered_mm") / F.col("length_mm")
     held = held.where((share + 1e-9 >= F.least(F.lit(PARTIAL_COVERAGE), F.lit(full_coverage))) & (share + 1e-9 < full_coverage))
     before, behind = F.col("low"), F.col("length_mm") - F.col("high")
