@@ -21,3 +21,18 @@ def test_corridor_reaches_fifty_metres(spark):
 
     v = Tables(net_roads=roads((1, 0.0)), link_roads=roads((2, 10.0), (4, 49.0), (6, 51.0), (8, -30.0)))
     assert sorted(map(tuple, _QUERIES["corridor_candidates"](v).collect())) == [(1, 2, 1.0), (1, 4, 1.0), (1, 8, 1.0)]
+
+
+def test_lane_links_run_over_junction_carriers(spark):
+    from waymesh.plans import lanes as L
+
+    def frame(columns, *rows):
+        return spark.createDataFrame(list(rows), ", ".join(f"{c} long" for c in columns.split()))
+
+    links = frame("from_lane to_lane", (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 1), (1, 7), (8, 6))
+    owner = frame("lane_id road_id", (1, 10), (2, 20), (3, 30), (4, 40), (5, 50), (6, 60), (8, 99), (8, 10))
+    # 90 to 93 lie on junctions, 80 does not; 50 is five steps away
+    pairs = frame("from_road to_road", (10, 90), (90, 20), (90, 91), (91, 30), (91, 92), (92, 40), (92, 93), (93, 50), (10, 80), (80, 60))
+    made = L.lane_links_on_roads(links, owner, pairs, frame("road_id parent_id"), frame("road_id", (90,), (91,), (92,), (93,)))
+    over, no = "via_junction_carrier", "unsupported"
+    assert sorted(map(tuple, made.collect())) == [(1, 2, over), (1, 3, over), (1, 4, over), (1, 5, no), (1, 6, no), (1, 7, "lane_without_road"), (2, 1, no), (8, 6, no)]
