@@ -36,3 +36,21 @@ def test_lane_links_run_over_junction_carriers(spark):
     made = L.lane_links_on_roads(links, owner, pairs, frame("road_id parent_id"), frame("road_id", (90,), (91,), (92,), (93,)))
     over, no = "via_junction_carrier", "unsupported"
     assert sorted(map(tuple, made.collect())) == [(1, 2, over), (1, 3, over), (1, 4, over), (1, 5, no), (1, 6, no), (1, 7, "lane_without_road"), (2, 1, no), (8, 6, no)]
+
+
+def test_logical_groups_of_several_arms(spark):
+    from waymesh.plans import arms as AR
+    profiles = spark.createDataFrame([(j, d, a) for j in (1, 2, 3, 4, 5) for d in (0, 1) for a in (0, 1)] + [(6, 0, 0)], "junction_id long, dataset int, arm int")
+    rows = [(1, 0, 0, 95.0, 80.0, False), (1, 0, 1, 80.0, 65.0, False),  # both stand for arm 0; arm 1 has nothing
+            (2, 0, 0, 95.0, 80.0, False), (2, 1, 0, 70.0, 60.0, True),  # arm 1 gets no share and keeps arm 0
+            (3, 0, 0, 90.0, 50.0, False), (3, 0, 1, 75.0, 60.0, False), (3, 1, 1, 95.0, 80.0, False), (3, 1, 0, 76.0, 60.0, False),  # each has its own
+            (4, 0, 0, 59.0, 50.0, False), (4, 0, 1, 58.0, 50.0, False), (4, 1, 0, 39.0, 30.0, False),  # low, and rejected
+            (5, 0, 0, 95.0, 80.0, False), (5, 0, 1, 74.9, 60.0, False), (5, 1, 1, 66.0, 60.0, True)]  # 20.1 below the best one
+    made = AR.logical_groups(profiles, spark.createDataFrame(rows, "junction_id long, left_arm int, right_arm int, score double, non_geometry double, partial boolean"))
+    got = {(r.junction_id, r.left_arm): tuple(r)[2:] for r in made.collect()}
+    gone = (None, "missing", "none", "missing")
+    assert got == {(1, 0): ([0, 1], "one_to_many", "over_split", "high"), (1, 1): gone,
+                   (2, 0): ([0], "many_to_one", "over_merged", "high"), (2, 1): ([0], "many_to_one", "partial", "medium"),
+                   (3, 0): ([0], "one_to_one", "full", "medium"), (3, 1): ([1], "one_to_one", "full", "high"),
+                   (4, 0): ([0], "uncertain", "unknown", "low"), (4, 1): gone,
+                   (5, 0): ([0], "one_to_one", "full", "high"), (5, 1): ([1], "one_to_one", "partial", "medium"), (6, 0): gone}

@@ -122,8 +122,7 @@ def _(v):
 
 @query("logical_arm_groups")
 def _(v):
-    profiles, scores = AR.arm_profiles(dataset_ends(v)), profile_scores(v)
-    return AR.logical_groups(profiles, AR.assign_arms(scores), scores)
+    return AR.logical_groups(AR.arm_profiles(dataset_ends(v)), profile_scores(v))
 
 
 @query("road_next_road_generate", """WITH m AS (SELECT DISTINCT target_id AS road_id, base_id AS target_road, ['approach', 'exit', 'both'][CAST(target_id % 3 + 1 AS INTEGER)] AS role FROM relation_last WHERE status = 0) SELECT DISTINCT a.target_road AS target_from, b.target_road AS target_to

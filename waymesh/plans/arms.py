@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import angular_distance, circular_mean
 from ..functions.scalar import confidence
+from ..lineage import cut
 from ..operators.arms import SECTOR_DEG, movement_cross
 from ..operators.assignment import exclusive_assignment
 from ..operators.topk import margin_to_second
@@ -48,7 +49,7 @@ def arm_scores(profiles: DataFrame, left_set: int, right_set: int) -> DataFrame:
     geometry = F.round(15.0 * (1 - F.least(delta, F.lit(90.0)) / 90.0), 2)
     terminal = F.lit(10.0)
     return pairs.select("junction_id", F.col("l_arm").alias("left_arm"), F.col("r_arm").alias("right_arm"),
-                        (role + trend + terminal + cover + geometry).alias("score"), (role + trend + terminal + cover).alias("non_geometry"))
+                        (role + trend + terminal + cover + geometry).alias("score"), (role + trend + terminal + cover).alias("non_geometry"), (ratio < 0.65).alias("partial"))
 
 
 def assign_arms(scores: DataFrame, min_score: float = 40.0) -> DataFrame:
@@ -57,14 +58,47 @@ def assign_arms(scores: DataFrame, min_score: float = 40.0) -> DataFrame:
     return exclusive_assignment(usable.select(F.col("junction_id").alias("unit"), F.col("left_arm").alias("left"), F.col("right_arm").alias("right"), "score"))
 
 
-def logical_groups(profiles: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:
-    """Match type and confidence of every left arm."""
+# Least score of a candidate that may stand beside the best one, and how far below it.
+SELECT_SCORE, SELECT_MARGIN = 60.0, 20.0
+
+
+def select_arms(scores: DataFrame, min_score: float = 40.0) -> DataFrame:
+    """Right arms that stand for each left arm: the best one and good ones close below it, except those another left arm is given.
+
+    Left arms with good candidates share them out one to one first; what stays free may join them. One without a share
+    keeps its candidates, so a right arm may stand for several.
+    """
+    pair = F.struct("right_arm", "score", "non_geometry", "partial")
+    pools = scores.where(F.col("score") >= min_score).groupBy("junction_id", "left_arm").agg(
+        F.max(F.struct("score", (-F.col("right_arm")).alias("o"))).alias("top"), F.collect_list(pair).alias("pool"))
+    rows = pools.select("junction_id", "left_arm", "top", F.inline("pool"))
+    close = (F.col("score") >= SELECT_SCORE) & (F.round(F.col("top.score") - F.col("score"), 6) <= SELECT_MARGIN)
+    chosen = cut(rows.where(close | ((F.col("top.score") < SELECT_SCORE) & (F.col("right_arm") == -F.col("top.o")))).drop("top"))
+    shares = cut(assign_arms(chosen, SELECT_SCORE))
+    own = shares.select(F.col("unit").alias("junction_id"), F.col("left").alias("left_arm"), F.col("right").alias("_own"))
+    taken = shares.select(F.col("unit").alias("junction_id"), F.col("right").alias("right_arm"), F.lit(True).alias("_taken"))
+    joined = chosen.join(own, ["junction_id", "left_arm"], "left").join(taken, ["junction_id", "right_arm"], "left")
+    return joined.where(F.col("_own").isNull() | (F.col("_own") == F.col("right_arm")) | F.col("_taken").isNull()).drop("_own", "_taken")
+
+
+def logical_groups(profiles: DataFrame, scores: DataFrame) -> DataFrame:
+    """Right arms, match type, coverage and confidence of every left arm."""
     left = profiles.where("dataset = 0").select("junction_id", F.col("arm").alias("left_arm"))
-    m = matches.select(F.col("unit").alias("junction_id"), F.col("left").alias("left_arm"), F.col("right").alias("right_arm"))
-    joined = left.join(m, ["junction_id", "left_arm"], "left").join(scores, ["junction_id", "left_arm", "right_arm"], "left")
+    kept = select_arms(scores)
+    users = kept.groupBy("junction_id", "right_arm").agg(F.count("*").alias("users"))
     level = confidence(F.col("score"), F.lit(False), F.col("non_geometry"))
-    return joined.select("junction_id", "left_arm", "right_arm", F.when(F.col("right_arm").isNull(), "missing").otherwise("one_to_one").alias("match_type"),
-                         F.when(F.col("right_arm").isNotNull(), level).alias("confidence"))
+    rank = F.when(level == "high", 3).when(level == "medium", 2).otherwise(1)
+    groups = kept.join(users, ["junction_id", "right_arm"]).groupBy("junction_id", "left_arm").agg(
+        F.sort_array(F.collect_list("right_arm")).alias("right_arms"), F.max("users").alias("users"), F.bool_or("partial").alias("partial"), F.max(rank).alias("rank"))
+    many, shared = F.size("right_arms") > 1, F.col("users") > 1
+    missing = F.col("right_arms").isNull()
+    uncertain = ~many & ~shared & ~F.col("partial") & (F.col("rank") == 1)
+    match = (F.when(missing, "missing").when(uncertain, "uncertain").when(many & shared, "many_to_many").when(many, "one_to_many")
+             .when(shared, "many_to_one").otherwise("one_to_one"))
+    coverage = (F.when(missing, "none").when(F.col("partial"), "partial").when(many, "over_split").when(shared, "over_merged").when(uncertain, "unknown").otherwise("full"))
+    return left.join(groups, ["junction_id", "left_arm"], "left").select(
+        "junction_id", "left_arm", "right_arms", match.alias("match_type"), coverage.alias("coverage"),
+        F.when(missing, "missing").otherwise(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("rank"))).alias("confidence"))
 
 
 def generate_road_next_road(source_pairs: DataFrame, mapping: DataFrame) -> DataFrame:
