@@ -54,3 +54,34 @@ def test_logical_groups_of_several_arms(spark):
                    (3, 0): ([0], "one_to_one", "full", "medium"), (3, 1): ([1], "one_to_one", "full", "high"),
                    (4, 0): ([0], "uncertain", "unknown", "low"), (4, 1): gone,
                    (5, 0): ([0], "one_to_one", "full", "high"), (5, 1): ([1], "one_to_one", "partial", "medium"), (6, 0): gone}
+
+
+def test_stages_remember_ends_and_the_last_passes_those_that_branch_no_more(spark, monkeypatch):
+    from waymesh.operators import graph as GR
+    from waymesh.plans import segment as SG
+    roads = [(1, 2, 11, 1), (2, 3, 12, 1), (3, 4, 13, 1), (4, 5, 14, 1), (5, 6, 15, 1), (21, 22, 31, 1), (22, 23, 32, 1), (22, 24, 33, 1)]
+    edges = GR.both_ways(spark.createDataFrame(roads, "src long, dst long, road_id long, length_m long"))
+
+    def nodes(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "node long")
+
+    every = nodes(*{n for r in roads for n in r[:2]})
+    others = lambda *ids: every.join(nodes(*ids), "node", "left_anti")
+    stages = [("4", nodes(1, 2, 22, 24), others(1, 2, 22, 24)), ("5A", nodes(3, 21, 23), others(3, 21, 23))]
+    start = [(11, "1-2", "4"), (12, "2-3", "5A"), (31, "21-22", "5A"), (32, "22-23", "5A"), (33, "22-24", "4")]
+    free = [(13, "3-6", "5C"), (14, "3-6", "5C"), (15, "3-6", "5C")]  # 5 is a seed with two roads left
+    held = [(13, "3-5", "5C"), (14, "3-5", "5C"), (15, "5-6", "5C")]
+    for most, protected, want in ((64, (99,), free), (64, (5,), held), (0, (99,), free)):
+        monkeypatch.setattr(SG, "MOST_IN_ROW", most)
+        made = SG.staged_rounds(edges, [*stages, ("5C", nodes(5, 6), every, nodes(*protected))])
+        assert sorted(map(tuple, made.collect())) == sorted(start + want)
+
+
+def test_staged_residual_rounds_has_all_stages(spark, monkeypatch):
+    from waymesh.catalog import segments
+    from waymesh.catalog.registry import _QUERIES
+    from waymesh.catalog.views import Views
+    seen = []
+    monkeypatch.setattr(segments.SG, "staged_rounds", lambda edges, stages: seen.extend(s[0] for s in stages))
+    _QUERIES["staged_residual_rounds"](Views(spark, "/root/testdata/sf0.001"))
+    assert seen == ["4", "5A", "5B", "5C"]

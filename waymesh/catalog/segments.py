@@ -95,7 +95,10 @@ def _(v):
 def _(v):
     edges = GR.both_ways(chain_edges(v).select("src", "dst", "road_id", "length_m"))
     stages = [(name, *seeds_and_through(v, remainders)) for name, remainders in (("4", (1, 6)), ("5A", (2, 5, 7)), ("5B", (0, 3)))]
-    return SG.staged_rounds(edges, stages)
+    # what is left goes to an adaptive last stage between all fit nodes; only roundabouts stop it for certain
+    fit = v.net_nodes.where(F.col("closed_con").isin(2, 3) & F.col("kind_2").isin(4, 64, 2048) & F.col("grade_2").isin(1, 2, 3))
+    last = (fit.select(F.col("id").alias("node")), v.net_nodes.select(F.col("id").alias("node")), fit.where("kind_2 = 64").select(F.col("id").alias("node")))
+    return SG.staged_rounds(edges, [*stages, ("5C", *last)])
 
 
 @query("oneway_completion")

@@ -160,11 +160,13 @@ def segment_body(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return kept.join(inside, ["unit", "src"], "left_semi")
 
 
-def staged_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+def staged_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, ...]]) -> DataFrame:
     """Assign roads to segments stage by stage; each stage sees only what earlier ones left.
 
     A stage is ``(name, seeds, through)``. Roads on the shortest way between the ends of a found pair are
-    assigned to it; a road wanted by several pairs goes to the smallest.
+    assigned to it; a road wanted by several pairs goes to the smallest. The ends of segments of earlier stages
+    are seeds of the later ones too, and no way passes through them. An adaptive stage is ``(name, seeds, through, protected)``:
+    its ends that keep just two roads, to two other nodes, are passed and end nothing; those in ``protected`` never are.
     Components of at most ``MOST_IN_ROW`` edges are solved in their own row; only larger ones, and those with a missing or negative length, go through rounds.
     """
     length = F.col("length_m").cast("double")
@@ -181,30 +183,42 @@ def staged_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataFrame
     if many.isEmpty():
         return assigned
     here = many.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return assigned.unionAll(_staged_in_rounds(many, [(name, seeds.join(here, "node", "left_semi"), through) for name, seeds, through in stages]))
+    return assigned.unionAll(_staged_in_rounds(many, [(name, seeds.join(here, "node", "left_semi"), *rest) for name, seeds, *rest in stages]))
 
 
-def _staged_in_rows(edges: DataFrame, comp: DataFrame, stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+def _staged_in_rows(edges: DataFrame, comp: DataFrame, stages: list[tuple[str, DataFrame, ...]]) -> DataFrame:
     """``staged_rounds`` of components with few edges."""
-    marks = None
-    for number, (_, seeds, through) in enumerate(stages):
-        stage = F.lit(number).alias("stage")
-        part = seeds.select("node", stage, F.lit(True).alias("seed"), F.lit(False).alias("through")).unionAll(
-            through.select("node", stage, F.lit(False).alias("seed"), F.lit(True).alias("through")))
-        marks = part if marks is None else marks.unionAll(part)
+    marks, flags = None, ("seed", "through", "protected")
+    for number, (_, *sets) in enumerate(stages):
+        for flag, nodes in zip(flags, sets):
+            part = nodes.select("node", F.lit(number).alias("stage"), *[F.lit(flag == f).alias(f) for f in flags])
+            marks = part if marks is None else marks.unionAll(part)
     roads = edges.groupBy("component").agg(F.collect_list(F.struct("src", "dst", "road_id", "length_m")).alias("_e"))
-    nodes = comp.join(marks, "node").groupBy("component").agg(F.collect_set(F.struct("node", "stage", "seed", "through")).alias("_m"))
+    nodes = comp.join(marks, "node").groupBy("component").agg(F.collect_set(F.struct("node", "stage", *flags)).alias("_m"))
     road, node = (edges.schema[c].dataType.simpleString() for c in ("road_id", "src"))
-    count = len(stages)
-    solve = F.udf(lambda e, m: staged_roads(e, m, count), f"array<struct<road_id:{road},a:{node},b:{node},stage:int>>")
-    names = F.array(*[F.lit(name) for name, _, _ in stages])
+    adaptive = [len(stage) > 3 for stage in stages]
+    solve = F.udf(lambda e, m: staged_roads(e, m, adaptive), f"array<struct<road_id:{road},a:{node},b:{node},stage:int>>")
+    names = F.array(*[F.lit(stage[0]) for stage in stages])
     return cut(roads.join(nodes, "component").select(F.inline(solve("_e", "_m"))).select(
         "road_id", F.concat_ws("-", "a", "b").alias("segment_id"), F.get(names, F.col("stage")).alias("stage")))
 
 
-def _staged_in_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    left, assigned = edges, None
-    for name, seeds, through in stages:
+def _demotable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``nodes`` with two roads that lead to two others: nothing branches off there."""
+    met = edges.select("road_id", F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")),
+                                                    F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("m")).select("road_id", "m.*")
+    plain = met.groupBy("node").agg(F.count_distinct("road_id").alias("roads"), F.count_distinct("other").alias("others")).where("roads = 2 AND others = 2")
+    return nodes.join(plain, "node", "left_semi")
+
+
+def _staged_in_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, ...]]) -> DataFrame:
+    left, assigned, pool = edges, None, edges.select(F.col("src").alias("node")).limit(0)
+    for name, seeds, through, *protected in stages:
+        seeds, through = seeds.select("node").unionAll(pool).distinct(), through.join(pool, "node", "left_anti")
+        if protected:
+            demoted = cut(_demotable(left, seeds.join(protected[0], "node", "left_anti")))
+            through = through.join(seeds.unionAll(protected[0].select("node")), "node", "left_anti").select("node").unionAll(demoted)
+            seeds = seeds.join(demoted, "node", "left_anti")
         pairs = cut(through_pairs(left, seeds, seeds, through))
         stops = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(through, "node", "left_anti")
         starts = pairs.select(F.struct("a", "b").alias("unit"), F.col("a").alias("node"))
@@ -214,8 +228,10 @@ def _staged_in_rounds(edges: DataFrame, stages: list[tuple[str, DataFrame, DataF
         best = shortest_distances(unit_edges, starts)
         roads = trace_back(best, unit_edges, pairs.select(F.struct("a", "b").alias("unit"), F.col("b").alias("node")))
         owned = roads.groupBy("road_id").agg(F.min("unit").alias("u")).select(
-            "road_id", F.concat_ws("-", "u.a", "u.b").alias("segment_id"), F.lit(name).alias("stage"))
+            "road_id", "u", F.concat_ws("-", "u.a", "u.b").alias("segment_id"), F.lit(name).alias("stage"))
         owned = cut(owned)
+        pool = pool.unionAll(owned.select(F.explode(F.array("u.a", "u.b")).alias("node"))).distinct()
+        owned = owned.drop("u")
         assigned = owned if assigned is None else assigned.unionAll(owned)
         left = cut(left.join(owned.select("road_id"), "road_id", "left_anti"))
     return assigned
