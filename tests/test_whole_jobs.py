@@ -115,3 +115,37 @@ def test_portals_meet_all_nodes_and_are_not_grouped_by_pair(spark):
     # the pairs of ends and nodes around them go straight into the result
     side = plan[next(i for i, line in enumerate(plan) if "array_min" in line or "transform(raws" in line) - 1]
     assert "Aggregate" not in side and made.count() == len(want)
+
+
+def test_lanes_of_a_cell_are_matched_side_by_side(spark, monkeypatch):
+    import random
+
+    from waymesh.operators import laneways as W
+    from waymesh.operators.lanematch import lane_samples
+    from waymesh.plans import lanes as L
+    rng = random.Random(8)
+
+    def line(n, x, y, step):
+        return [(x + rng.randrange(-step, step + 1), y + rng.randrange(-step, step + 1)) for _ in range(n)]
+
+    lanes = [(i, [(float(a), float(b)) for a, b in line(rng.randrange(2, 5), rng.randrange(900), rng.randrange(450), 40)]) for i in range(150)]
+    lanes += [(200, [(0.0, 100.0), (900.0, 120.0)]), (201, [(5.0, None), (30.0, 40.0), (90.0, 90.0)]), (202, [(7.0, 7.0), (7.0, 7.0)]), (203, [(5000.0, 0.0), (5050.0, 0.0)])]
+    roads = [(i, rng.choice([0, 1, 2, 3, None]), [rng.randrange(60), rng.choice([None, rng.randrange(60)])] if i % 20 else None,
+              [(float(a), float(b)) for a, b in line(rng.randrange(2, 4), rng.randrange(900), rng.randrange(450), 30)]) for i in range(500)]
+    roads += [(700 + i, 0, [1, 2], [(0.0, 50.0 + i % 2), (900.0, 50.0 + i % 2)]) for i in range(4)]  # equal ways
+    pts = "array<struct<x:double,y:double>>"
+    lanes = spark.createDataFrame(lanes, f"lane_id long, pts {pts}")
+    roads = spark.createDataFrame(roads, f"line_id long, direction int, ends array<long>, pts {pts}")
+    want = sorted(map(tuple, L.map_match(lane_samples(lanes, 10.0), roads, 25.0).collect()), key=str)
+    assert sorted(map(tuple, L.match_lanes(lanes, roads, 10.0, 25.0).collect()), key=str) == want and len({r[2] for r in want}) > 100
+    plan = L.match_lanes(lanes.where("lane_id < 150"), roads, 10.0, 25.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "collect_list" not in plan  # neither samples nor candidates are gathered by lane
+    monkeypatch.setattr(W, "MOST_AT_ONCE", 1 << 9)
+    monkeypatch.setattr(W, "MOST_ROADS", 3)
+    table = lambda df: df.toArrow()
+    one = table(lanes.where("lane_id < 150").selectExpr("lane_id", "pts.x AS xs", "pts.y AS ys").join(lane_samples(lanes, 1e9).select("lane_id", "lane_deg").distinct(), "lane_id"))
+    from waymesh.functions import geometry as G
+    heading = G.bearing(F.struct(F.col("p.x0").alias("x"), F.col("p.y0").alias("y")), F.struct(F.col("p.x1").alias("x"), F.col("p.y1").alias("y")))
+    near = table(roads.select("line_id", "direction", "ends", F.explode(G.pieces(F.col("pts"))).alias("p")).select("line_id", "direction", "ends", "p.*", heading.alias("line_deg")))
+    made = W.lane_ways(one, near, 10.0, 25.0, 50.0, 20.0, 3.0, 20.0)
+    assert sorted(zip(*(made.column(c).to_pylist() for c in ("lane_id", "i", "road_id"))), key=str) == [r for r in want if r[0] < 150]

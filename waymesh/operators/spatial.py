@@ -25,13 +25,19 @@ def salted_cell_join(left: DataFrame, right: DataFrame, salt_key: str, hot_rows:
     sent to all tasks, so either side is shuffled once; the few left rows there are repeated per share. ``salt`` stays:
     what is grouped by (cx, cy, salt) and more is not shuffled again.
     """
+    probe, spread = salted_cells(left, right, salt_key, hot_rows)
+    return probe.join(spread, ["cx", "cy", "salt"])
+
+
+def salted_cells(left: DataFrame, right: DataFrame, salt_key: str, hot_rows: int = HOT_CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``salted_cell_join`` with their ``salt``."""
     sizes = right.groupBy("cx", "cy").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("shares"))
     crowded = F.broadcast(sizes.where(F.col("shares") > 1))
     probe = (left.join(crowded, ["cx", "cy"], "left")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares"))
     spread = (right.join(crowded, ["cx", "cy"], "left")
               .withColumn("salt", F.pmod(F.xxhash64(salt_key), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares"))
-    return probe.join(spread, ["cx", "cy", "salt"])
+    return probe, spread
 
 
 def neighbour_cells(df: DataFrame) -> DataFrame:
