@@ -149,3 +149,39 @@ def test_lanes_of_a_cell_are_matched_side_by_side(spark, monkeypatch):
     near = table(roads.select("line_id", "direction", "ends", F.explode(G.pieces(F.col("pts"))).alias("p")).select("line_id", "direction", "ends", "p.*", heading.alias("line_deg")))
     made = W.lane_ways(one, near, 10.0, 25.0, 50.0, 20.0, 3.0, 20.0)
     assert sorted(zip(*(made.column(c).to_pylist() for c in ("lane_id", "i", "road_id"))), key=str) == [r for r in want if r[0] < 150]
+
+
+def test_corridors_of_a_cell_are_searched_side_by_side(spark, monkeypatch):
+    import random
+
+    from waymesh.operators import laneways as W
+    from waymesh.operators import spatial as SP
+    from waymesh.plans import replace as RP
+    rng = random.Random(12)
+
+    def line(n):
+        x, y = rng.randrange(900), rng.randrange(500)
+        return [(float(x + rng.randrange(-40, 41)), float(y + rng.randrange(-40, 41))) for _ in range(n)]
+
+    pts = "array<struct<x:double,y:double>>"
+    segments = [(i, line(rng.randrange(2, 5))) for i in range(80)] + [(90, [(0.0, 100.0), (900.0, 120.0)]), (91, [(5.0, None), (30.0, 40.0), (90.0, 90.0)]), (92, [(7.0, 7.0), (7.0, 7.0)]), (93, [(9e3, 9e3), (9e3, 9e3)])]
+    carriers = [(i, line(rng.randrange(2, 4)), rng.choice([0, 128, 129]), rng.random() < 0.5) for i in range(150)] + [(200, [(0.0, 300.0), (900.0, 310.0)], 0, False), (201, [(8.0, None), (30.0, 40.0), (90.0, 90.0)], 0, False)]
+    segments, carriers = spark.createDataFrame(segments, f"segment_id long, pts {pts}"), spark.createDataFrame(carriers, f"road_id long, pts {pts}, formway int, linked boolean")
+
+    def found():
+        return sorted(map(tuple, RP.corridor_candidates(segments, carriers, 50.0, 5.0).collect()))
+
+    with monkeypatch.context() as m:
+        m.setattr(SP, "HOME_EXTENT_M", -1.0)  # all segments go through the join of samples and pieces
+        want = found()
+    assert found() == want and {200, 201} <= {r[1] for r in want} and {90, 91, 92} <= {r[0] for r in want} and len(want) > 400
+    plan = RP.corridor_candidates(segments.where("segment_id < 80"), carriers, 50.0, 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "point_piece" not in plan and "min(dist" not in plan
+    import pyarrow as pa
+    monkeypatch.setattr(W, "MOST_AT_ONCE", 4)
+    some = [r for r in segments.where("segment_id < 80").collect()]
+    cell = pa.table({"segment_id": [r.segment_id for r in some], "xs": [[p.x for p in r.pts] for r in some], "ys": [[p.y for p in r.pts] for r in some]})
+    from waymesh.functions import geometry as G
+    sampled = carriers.where("formway & 128 = 0 OR linked").select("road_id", G.length(F.col("pts")).alias("length_m"), F.size(G.sample(F.col("pts"), 5.0)).alias("samples"), F.inline(G.sample(F.col("pts"), 5.0))).toArrow()
+    made = W.corridor_shares(cell, sampled, 50.0, 0.2, 1.0)
+    assert sorted(zip(*(made.column(c).to_pylist() for c in ("segment_id", "road_id", "ratio")))) == [r for r in want if r[0] < 80]

@@ -69,6 +69,34 @@ def line_cells(lines: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     return piece.select("*", F.explode(boxes).alias("c")).select("*", "c.cx", "c.cy").drop("c")
 
 
+# A line within a square of this side goes to one cell as a whole.
+HOME_EXTENT_M, HOME_CELL_M = 200.0, 400.0
+
+
+def homes(lines: DataFrame, line_id: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of small extent with their coordinates ``xs, ys`` in the cell of their middle, and the larger and incomplete ones as they are.
+
+    ``lines`` holds ``pts`` and the column named by ``line_id``.
+    """
+    # a generator computes the columns once, however often they are used
+    rows = lines.select(line_id, F.inline(F.array(F.struct("pts", F.col("pts.x").cast("array<double>").alias("xs"), F.col("pts.y").cast("array<double>").alias("ys")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(*[f(c).alias(f"{n}_{c}") for c in ("xs", "ys") for n, f in (("low", F.array_min), ("high", F.array_max))]))))
+    # null where a coordinate is missing
+    whole = ~F.array_contains("xs", float("nan")) & ~F.array_contains("ys", float("nan")) & (F.size("xs") >= 2)
+    small = F.coalesce(whole & (F.col("high_xs") - F.col("low_xs") <= HOME_EXTENT_M) & (F.col("high_ys") - F.col("low_ys") <= HOME_EXTENT_M), F.lit(False))
+    middle = rows.where(small).withColumns({"x": (F.col("low_xs") + F.col("high_xs")) / 2, "y": (F.col("low_ys") + F.col("high_ys")) / 2})
+    return with_cell(middle, "x", "y", HOME_CELL_M).select(line_id, "xs", "ys", "cx", "cy"), rows.where(~small).select(line_id, "pts")
+
+
+def around_homes(rows: DataFrame, x0: str, x1: str, y0: str, y1: str, limit: float) -> DataFrame:
+    """Rows repeated for every cell whose lines may be within ``limit`` of their box."""
+    reach = limit + HOME_EXTENT_M / 2
+    for cell, a, b in (("cx", x0, x1), ("cy", y0, y1)):
+        low, high = (F.col(a), F.col(a)) if a == b else (F.least(a, b), F.greatest(a, b))
+        rows = rows.withColumn(cell, F.explode(F.sequence(F.floor((low - reach) / HOME_CELL_M), F.floor((high + reach) / HOME_CELL_M))))
+    return rows
+
+
 def flat_pieces(pieces: DataFrame, column: str) -> tuple[DataFrame, dict[str, Column]]:
     """The pieces in ``column`` as columns of their own that are never null, and the columns by field.
 
